@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -199,15 +201,54 @@ def extract_snippet(text: Column, pattern: str, window: int = 90) -> Column:
     """First match with up to ``window`` characters on each side, squished; NULL without a match.
 
     Splitting once at the first match gives the text before and after it, so
-    positions are in characters and the expression is searched only once.
+    positions are in characters and the text is searched only once.
     """
-    parts = F.split(text, case_insensitive(pattern), 2)
-    before, after = F.length(parts[0]), F.length(parts[1])
-    start = F.greatest(F.lit(1), before + 1 - window)
-    stop = F.length(text) - after + F.least(after, F.lit(window))
-    return F.when(F.size(parts) == 2, squish(F.substring(text, start, stop - start + 1)))
+
+    def cut(parts: Column) -> Column:
+        before, after = F.length(parts[0]), F.length(parts[1])
+        start = F.greatest(F.lit(1), before + 1 - window)
+        stop = F.length(text) - after + F.least(after, F.lit(window))
+        return F.when(F.size(parts) == 2, squish(F.substring(text, start, stop - start + 1)))
+
+    return F.transform(F.array(F.split(text, case_insensitive(pattern), 2)), cut)[0]
 
 
 def case_insensitive(pattern: str) -> str:
     """Unicode-aware, case-insensitive form of a pattern."""
     return "(?iU)(?:" + pattern + ")"
+
+
+def needed_literals(pattern: str) -> list[str] | None:
+    """A lower-case literal per alternative that every match of it contains.
+
+    None when some alternative has none, or for syntax beyond literals, dots,
+    escapes and ``? * +`` (then there is no shortcut).
+    """
+    plain = re.sub(r"\([^()|]*\)\?", "\0", pattern)
+    if re.search(r"[()\[\]{}^$]", plain):
+        return None
+    out = []
+    for alternative in plain.split("|"):
+        pieces = re.sub(r"(\\.|[^\\])[?*+]+|\\.|\.", "\0", alternative).split("\0")
+        best = max((piece.strip() for piece in pieces), key=len)
+        if not re.fullmatch(r"[A-Za-z0-9 \-]+", best):
+            return None
+        out.append(best.lower())
+    return list(dict.fromkeys(out))
+
+
+def search_text(clean_text: Column) -> Column:
+    """Normalized text for ``may_match``: two letters that case-insensitive search
+    equates with i and s keep their own lower-case form, so they are mapped."""
+    return F.translate(clean_text, "\u0131\u017f", "is")
+
+
+def may_match(search: Column, pattern: str) -> Column | None:
+    """Cheap necessary condition, on the search text, for a match in the raw or the normalized text."""
+    literals = needed_literals(pattern)
+    if literals is None:
+        return None
+    out = search.contains(literals[0])
+    for literal in literals[1:]:
+        out = out | search.contains(literal)
+    return out

@@ -320,11 +320,15 @@ def fit_linear(
     return Fit(dict(zip([*problem.terms, INTERCEPT], betas)), rows, n, None, problem.aliased, problem.design)
 
 
+def _exp(x: float) -> float:
+    return math.exp(x) if x < 709.0 else math.inf
+
+
 def tidy(spark, fits: list[tuple[Fit | None, str, str]], exponentiate: list[bool]) -> DataFrame:
     """One row per term of each (fit, outcome, exposure); skipped fits give none."""
     rows = []
     for (fit, outcome, exposure), exp in zip(fits, exponentiate):
         for term, b, s, stat, p, low, high in fit.rows if fit is not None else []:
-            change = math.exp if exp else float
+            change = _exp if exp else float
             rows.append((term, change(b), s, stat, p, change(low), change(high), outcome, exposure, fit.n))
     return spark.createDataFrame(rows, TIDY_SCHEMA + ", outcome string, exposure string, model_n bigint")

@@ -1,15 +1,16 @@
 """Exact order statistics, percentiles and n-tiles without a single-task sort.
 
 Built-in exact percentiles keep every distinct value of a group in one task,
-and an unpartitioned ``ntile`` sorts the whole table in one task. Here values
-are first counted (so ties collapse map-side), each group's distinct values are
-split into ranges at approximate quantiles, and only the ranges that hold a
-wanted rank are sorted, each on its own. The split points affect balance only,
-never the result.
+and an unpartitioned ``ntile`` sorts the whole table in one task. Here a
+mergeable sketch first brackets each wanted rank between two values; rows are
+then counted per distinct value inside the bracket and as one number below it,
+and only the bracket's distinct values (a few cells of the sketch's grid) are
+ordered. The sketch decides how much is ordered, never the result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RANGES = 64
+CELLS = 128  # grid of the sketch; a bracket spans three cells
+ACCURACY = 16 * CELLS  # sketch error of at most 1/16 cell
+SMALL = 64 * CELLS  # up to this many rows the bracket is everything
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -28,70 +31,69 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return joined.drop(*[f"__r_{k}" for k in keys])
 
 
-def _split_points(counts: DataFrame, keys: list[str], value: str, weight: str, ranges: int) -> DataFrame:
-    """Per group, at most ``ranges`` values that cut its distinct values evenly."""
-    # The weight test is always true; it keeps this branch's columns equal to
-    # the other reader's so that Spark shuffles the counts once for both.
-    present = F.when(F.col(weight) > 0, F.col(value))
-    if isinstance(counts.schema[value].dataType, T.NumericType):
-        at = [i / ranges for i in range(1, ranges)]
-        return counts.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(present, at)).alias("__cuts"))
-    # Other types: a hash-chosen share of the distinct values, about ``ranges`` of them.
-    sized = counts.groupBy(*keys).agg(F.count(present).alias("__distinct"))
-    share = F.greatest(F.lit(1), F.floor(F.col("__distinct") / ranges))
-    chosen = F.when(F.pmod(F.xxhash64(present), share) == 0, present)
-    return (
-        null_safe_join(counts, sized, keys)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(chosen)).alias("__cuts"))
-    )
-
-
 def order_statistics(
-    counts: DataFrame, keys: list[str], value: str, weight: str, ranks: DataFrame, ranges: int = RANGES
+    rows: DataFrame, keys: list[str], value: str, targets: Callable[[Column], Column]
 ) -> DataFrame:
-    """Value at given 0-based ranks of each group.
+    """Values at wanted ranks of each group of a numeric column.
 
-    ``counts`` has one row per (keys, value) with a positive ``weight``;
-    ``ranks`` has (keys, ``rank``), a few rows per group. Returns keys, rank,
-    value, and ``offset``: the rank counted within the rows of that value.
+    ``targets`` maps the group's count of non-missing values to an array of
+    structs with a 0-based ``rank`` and any further fields. Returns the keys,
+    the struct fields, the value, its ``offset`` (the rank counted within the
+    rows of that value) and ``ties`` (the number of those rows).
     """
-    cuts = _split_points(counts, keys, value, weight, ranges)
-    ranged = (
-        null_safe_join(counts, cuts, keys)
-        .withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(value))))
-        .drop("__cuts")
+    v, n = F.col(value), F.col("__n")
+    sketch = (
+        rows.groupBy(*keys)
+        .agg(
+            F.count(v).alias("__n"),
+            F.min(v).alias("__min"),
+            F.max(v).alias("__max"),
+            F.percentile_approx(v, [i / CELLS for i in range(1, CELLS)], ACCURACY).alias("__grid"),
+        )
+        .filter(n > 0)
     )
-    ranged = ranged.select(*keys, "__range", value, weight)
-    sizes = ranged.groupBy(*keys, "__range").agg(F.sum(weight).alias("__rows"))
-    # At most ``ranges`` rows per group.
-    upto = W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, W.currentRow)
-    sizes = sizes.withColumn("__end", F.sum("__rows").over(upto)).withColumn("__start", F.col("__end") - F.col("__rows"))
-    wanted = (
-        null_safe_join(sizes, ranks, keys)
-        .filter((F.col("rank") >= F.col("__start")) & (F.col("rank") < F.col("__end")))
-        .groupBy(*keys, "__range", "__start")
-        .agg(F.collect_set("rank").alias("__ranks"))
+    exact_type = isinstance(rows.schema[value].dataType, T.IntegralType)
+
+    def widen(bound: Column, side: int) -> Column:
+        # The sketch computes in double; large integers lose their last bits there.
+        if not exact_type:
+            return bound
+        slack = (F.abs(bound.cast("double")) / F.lit(2.0**51)).cast("bigint") + 1
+        return F.try_add(bound, slack) if side > 0 else F.try_subtract(bound, slack)
+
+    def bracket(target: Column) -> Column:
+        cell = F.floor(target["rank"] / n * CELLS).cast("int")
+        low = F.when((n > SMALL) & (cell >= 2), widen(F.get("__grid", cell - 2), -1))
+        high = F.when((n > SMALL) & (cell <= CELLS - 3), widen(F.get("__grid", cell + 1), 1))
+        return F.struct(
+            target.alias("t"),
+            F.coalesce(low, "__min").alias("low"),
+            F.coalesce(high, "__max").alias("high"),
+        )
+
+    brackets = sketch.select(*keys, F.transform(targets(n), bracket).alias("__brackets"))
+    inside = null_safe_join(rows.filter(v.isNotNull()), brackets, keys).select(
+        *keys, value, F.inline("__brackets")
     )
-    hit = null_safe_join(ranged, wanted, [*keys, "__range"])
-    within = W.partitionBy(*keys, "__range").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    hit = hit.withColumn("__last", F.col("__start") + F.sum(weight).over(within)).withColumn(
-        "__first", F.col("__last") - F.col(weight)
+    counts = (
+        inside.filter(v <= F.col("high"))
+        .groupBy(*keys, "t", F.when(v >= F.col("low"), v).alias("__v"))
+        .agg(F.count(F.lit(1)).alias("ties"))
     )
-    found = F.filter("__ranks", lambda r: (r >= F.col("__first")) & (r < F.col("__last")))
-    return hit.select(*keys, value, "__first", F.explode(found).alias("rank")).select(
-        *keys, "rank", value, (F.col("rank") - F.col("__first")).alias("offset")
+    upto = W.partitionBy(*keys, "t").orderBy(F.asc_nulls_first("__v")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    rank, end = F.col("t")["rank"], F.col("__end")
+    found = F.coalesce(F.col("__v"), F.raise_error(F.lit("rank below its bracket")).cast(rows.schema[value].dataType))
+    return (
+        counts.withColumn("__end", F.sum("ties").over(upto))
+        .filter((rank < end) & (rank >= end - F.col("ties")))
+        .select(*keys, "t.*", found.alias(value), (rank - (end - F.col("ties"))).alias("offset"), "ties")
     )
 
 
-def value_counts(df: DataFrame, variables: list[str], by: list[str], label: str) -> DataFrame:
-    """Rows per (by, variable, value) over the non-missing values."""
-    long = df.select(*by, *variables).unpivot(by, variables, label, "__value")
-    return (
-        long.filter(F.col("__value").isNotNull())
-        .groupBy(*by, label, "__value")
-        .agg(F.count(F.lit(1)).alias("__n"))
-    )
+def long_numbers(df: DataFrame, variables: list[str], by: list[str], label: str) -> DataFrame:
+    """(by, variable, value) rows of several numeric columns, missing values included."""
+    numbers = df.select(*by, *[F.col(v).cast("double").alias(v) for v in variables])
+    return numbers.unpivot(by, variables, label, "value")
 
 
 def exact_percentiles(
@@ -104,28 +106,28 @@ def exact_percentiles(
     """Interpolated (type 7) percentiles ``p[i]`` per group and variable; all-missing groups give no row."""
     by = by or []
     keys = [*by, label]
-    numbers = df.select(*by, *[F.col(v).cast("double").alias(v) for v in variables])
-    counts = value_counts(numbers, variables, by, label)
-    totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-
-    def position(prob: float) -> Column:
-        return (F.col("__total") - 1) * F.lit(float(prob))
-
-    bounds = [f(position(p)).cast("bigint") for p in probs for f in (F.floor, F.ceil)]
-    ranks = totals.select(*keys, F.explode(F.array_distinct(F.array(*bounds))).alias("rank"))
-    found = order_statistics(counts, keys, "__value", "__n", ranks)
-    # At most two ranks per probability.
-    lookup = found.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("rank", "__value"))).alias("__at")
-    )
-    both = null_safe_join(totals, lookup, keys)
 
-    def percentile(prob: float) -> Column:
-        at = position(prob)
-        low, high = F.col("__at")[F.floor(at).cast("bigint")], F.col("__at")[F.ceil(at).cast("bigint")]
-        return low + (at - F.floor(at)) * (high - low)
+    def targets(n: Column) -> Column:
+        out = []
+        for i, prob in enumerate(probs):
+            at = (n - 1) * F.lit(float(prob))
+            share = at - F.floor(at)
+            for rank, weight in ((F.floor(at), 1 - share), (F.floor(at) + 1, share)):
+                out.append(
+                    F.struct(rank.cast("bigint").alias("rank"), F.lit(i).alias("i"), weight.alias("weight"))
+                )
+        return F.filter(F.array(*out), lambda t: t["weight"] > 0)
+
+    found = order_statistics(long_numbers(df, variables, by, label), keys, "value", targets)
 
-    return both.select(*keys, F.array(*[percentile(p) for p in probs]).alias("p"))
+    def percentile(i: int) -> Column:
+        mine = F.col("i") == i
+        whole = F.abs(F.sum(F.when(mine, F.col("weight"))) - 1) < 1e-9
+        return F.when(whole, F.sum(F.when(mine, F.col("weight") * F.col("value")))).otherwise(
+            F.raise_error(F.lit("rank above its bracket")).cast("double")
+        )
+
+    return found.groupBy(*keys).agg(F.array(*[percentile(i) for i in range(len(probs))]).alias("p"))
 
 
 def scalar_percentiles(df: DataFrame, variable: str, probs: list[float]) -> DataFrame:
@@ -133,52 +135,62 @@ def scalar_percentiles(df: DataFrame, variable: str, probs: list[float]) -> Data
     return exact_percentiles(df, [variable], probs).agg(F.first("p").alias("p"))
 
 
-def add_ntiles(
-    df: DataFrame, tiles: dict[str, str], tiebreak: str, n: int = 4, ranges: int = RANGES
-) -> DataFrame:
+def _tie_key(df: DataFrame, tiebreak: str) -> Column:
+    """Whole-number ids order themselves; others are ordered by a hash a double holds exactly."""
+    if isinstance(df.schema[tiebreak].dataType, T.IntegralType):
+        return F.col(tiebreak).cast("bigint")
+    return F.shiftright(F.xxhash64(tiebreak), 10)
+
+
+def ntile_borders(df: DataFrame, sources: list[str], tiebreak: str, n: int = 4) -> dict[str, list[tuple]]:
+    """First (value, tie key) of tiles 2..n of each column; the key is None if the value starts the tile.
+
+    At most ``n - 1`` rows per column reach the driver.
+    """
+    rows = df.select(
+        _tie_key(df, tiebreak).alias("__key"), *[F.col(s).cast("double").alias(s) for s in sources]
+    ).unpivot(["__key"], sources, "source", "value")
+
+    def starts(count: Column) -> Column:
+        size, extra = F.floor(count / n), F.pmod(count, F.lit(n))
+        ranks = [(size * k + F.least(F.lit(k), extra)).cast("bigint") for k in range(1, n)]
+        every = F.array(*[F.struct(r.alias("rank"), F.lit(k).alias("k")) for k, r in enumerate(ranks)])
+        return F.filter(every, lambda t: t["rank"] < count)
+
+    edges = order_statistics(rows, ["source"], "value", starts).collect()
+    split = sorted({(e["source"], e["value"], e["offset"]) for e in edges if e["offset"] > 0})
+    keys: dict[tuple, int] = {}
+    if split:
+        # Rows that tie with an edge value, and the wanted places among them.
+        wanted = df.sparkSession.createDataFrame(split, "source string, value double, rank bigint")
+        places = wanted.groupBy("source", "value").agg(F.collect_list(F.struct("rank")).alias("__places"))
+        tied = rows.join(places, ["source", "value"])
+        group = ["source", "value", "__places"]
+        for hit in order_statistics(tied, group, "__key", lambda _n: F.col("__places")).collect():
+            keys[hit["source"], hit["value"], hit["rank"]] = hit["__key"]
+    borders: dict[str, list[tuple]] = {source: [] for source in sources}
+    for e in sorted(edges, key=lambda e: e["k"]):
+        borders[e["source"]].append((e["value"], keys.get((e["source"], e["value"], e["offset"]))))
+    return borders
+
+
+def add_ntiles(df: DataFrame, tiles: dict[str, str], tiebreak: str, n: int = 4) -> DataFrame:
     """Exact n-tiles of several columns (``new -> source``), missing values untiled.
 
-    Only the first row of tiles 2..n is located, as (value, tiebreak). Values
-    that tie across a tile border are resolved by the tiebreak, which must be
-    unique. Every row then compares itself with n-1 borders: the table is
-    neither sorted nor shuffled. ``df`` is read several times; pass a stored
+    Tiles are filled in order of (value, tiebreak); the tiebreak must be unique.
+    Every row compares itself with the n-1 borders, so the table itself is
+    neither sorted nor shuffled. ``df`` is read up to four times; pass a stored
     table when it is costly to compute.
     """
-    keys, sources = ["__tile_of"], list(tiles.values())
-    numbers = df.select(tiebreak, *[F.col(s).cast("double").alias(s) for s in sources])
-    counts = value_counts(numbers, sources, [], keys[0])
-    totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-    size, extra = F.floor(F.col("__total") / n), F.pmod(F.col("__total"), F.lit(n))
-    starts = F.array(*[(size * k + F.least(F.lit(k), extra)).cast("bigint") for k in range(1, n)])
-    ranks = totals.select(*keys, F.posexplode(starts).alias("__tile", "rank")).filter(
-        F.col("rank") < F.col("__total")
-    )
-    edges = order_statistics(counts, keys, "__value", "__n", ranks.select(*keys, "rank").distinct(), ranges)
-
-    # Rows tied with an edge value, and the wanted place among them.
-    long = numbers.unpivot([tiebreak], sources, keys[0], "__value")
-    tied_keys = [*keys, "__value"]
-    inside = edges.filter(F.col("offset") > 0).select(*tied_keys, F.col("offset").alias("rank"))
-    tied = long.join(inside.select(*tied_keys).distinct(), tied_keys, "left_semi").withColumn("__one", F.lit(1))
-    firsts = order_statistics(tied, tied_keys, tiebreak, "__one", inside, ranges)
-    edges = edges.join(
-        firsts.select(*tied_keys, F.col("rank").alias("offset"), F.col(tiebreak).alias("__id")),
-        [*tied_keys, "offset"],
-        "left",
-    )
-    borders = (
-        ranks.join(edges, [*keys, "rank"])
-        .groupBy()
-        .agg(F.collect_list(F.struct(*keys, "__tile", "__value", "__id")).alias("b"))
-    )
+    borders = ntile_borders(df, list(tiles.values()), tiebreak, n)
+    tie = _tie_key(df, tiebreak)
 
-    out = df.withColumn("__borders", borders.scalar())
-    for name, source in tiles.items():
+    def tile(source: str) -> Column:
         value = F.col(source).cast("double")
+        out = F.lit(1)
+        for edge, key in borders[source]:
+            at_edge = (value == edge) if key is None else (value == edge) & (tie >= key)
+            out = out + ((value > edge) | at_edge).cast("int")
+        return F.when(value.isNotNull(), out)
 
-        def reached(b: Column, source: str = source, value: Column = value) -> Column:
-            at_edge = (value == b["__value"]) & (b["__id"].isNull() | (F.col(tiebreak) >= b["__id"]))
-            return (b["__tile_of"] == source) & ((value > b["__value"]) | at_edge)
-
-        out = out.withColumn(name, F.when(value.isNotNull(), F.size(F.filter("__borders", reached)) + 1))
-    return out.drop("__borders")
+    return df.withColumns({name: tile(source) for name, source in tiles.items()})

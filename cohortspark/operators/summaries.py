@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.semantics import count_where, ratio
-from .quantiles import exact_percentiles, null_safe_join
+from .quantiles import exact_percentiles, long_numbers, null_safe_join
 
 
 def _rows(wide: DataFrame, by: list[str], variables: list[str], stats: list[str], label: str) -> DataFrame:
@@ -40,18 +40,15 @@ def continuous_table(
 ) -> DataFrame:
     """n_nonmissing, mean, sd, median, quartiles, min and max per variable and group."""
     by = by or []
-    numbers = df.select(*by, *[F.col(v).cast("double").alias(v) for v in variables])
-    aggs = [
-        agg.alias(f"{name}__{v}")
-        for v in variables
-        for name, agg in {
-            "n_nonmissing": F.count(v), "mean": F.avg(v), "sd": F.stddev_samp(v), "min": F.min(v), "max": F.max(v),
-        }.items()
-    ]
-    moments = _rows(
-        numbers.groupBy(*by).agg(*aggs), by, variables, ["n_nonmissing", "mean", "sd", "min", "max"], label
+    value = F.col("value")
+    moments = long_numbers(df, variables, by, label).groupBy(*by, label).agg(
+        F.count(value).alias("n_nonmissing"),
+        F.avg(value).alias("mean"),
+        F.stddev_samp(value).alias("sd"),
+        F.min(value).alias("min"),
+        F.max(value).alias("max"),
     )
-    spread = exact_percentiles(numbers, variables, [0.25, 0.5, 0.75], by, label).select(
+    spread = exact_percentiles(df, variables, [0.25, 0.5, 0.75], by, label).select(
         *by, label, F.col("p")[0].alias("p25"), F.col("p")[1].alias("median"), F.col("p")[2].alias("p75")
     )
     return null_safe_join(moments, spread, [*by, label], "left")

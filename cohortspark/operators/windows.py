@@ -1,14 +1,17 @@
 """Events inside a time window around a per-key anchor, and their features.
 
 One key may hold a large part of all events. Events are therefore spread over
-``salts`` parts of each key, the (one row per key) anchors are repeated once
-per part, and features are aggregated first per part and then per key. When
-the anchors are small enough Catalyst broadcasts them and the first
-aggregation runs map-side without moving events at all.
+``salts`` parts of each key and the (one row per key) anchors are repeated once
+per part. Windowed events are first reduced to one row per key, part and
+distinct raw text, with the extremes of the number beside it, so text is
+cleaned and matched once per distinct text of a key, not once per event.
+``sized_anchors`` counts the anchors first: up to a million are broadcast in one
+part each, and the reduction then starts map-side, before any event is moved.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,38 +20,35 @@ from pyspark.sql import functions as F
 from .anchors import KEY
 
 SALTS = 8
+BROADCAST_ROWS = 1_000_000  # anchors are a key and a time, so at most some hundred megabytes
+HIGH, LOW = "__high", "__low"
 _SALT = "__part"
 
 
 @dataclass(frozen=True)
 class Feature:
-    """A mergeable aggregate: ``kind`` is any, max, min or names."""
+    """A mergeable aggregate over the cleaned texts where ``cond`` holds.
+
+    ``kind``: any (0/1), max or min of the number, names (distinct ``cond``
+    text values, joined).
+    """
 
     name: str
     kind: str
-    value: Column
+    cond: Column
 
-    def partial(self) -> Column:
-        if self.kind == "any":
-            return F.max(self.value.cast("int")).alias(self.name)
-        if self.kind == "max":
-            return F.max(self.value).alias(self.name)
-        if self.kind == "min":
-            return F.min(self.value).alias(self.name)
-        if self.kind == "names":
-            return F.collect_set(self.value).alias(self.name)
-        raise ValueError(self.kind)
-
-    def final(self) -> Column:
-        col = F.col(self.name)
+    def aggregate(self) -> Column:
         if self.kind == "any":
-            return F.coalesce(F.max(col), F.lit(0)).alias(self.name)
-        if self.kind == "max":
-            return F.max(col).alias(self.name)
-        if self.kind == "min":
-            return F.min(col).alias(self.name)
-        names = F.array_sort(F.array_distinct(F.flatten(F.collect_list(col))))
-        return F.nullif(F.array_join(names, " | "), F.lit("")).alias(self.name)
+            out = F.coalesce(F.max(self.cond.cast("int")), F.lit(0))
+        elif self.kind == "max":
+            out = F.max(F.when(self.cond, F.col(HIGH)))
+        elif self.kind == "min":
+            out = F.min(F.when(self.cond, F.col(LOW)))
+        elif self.kind == "names":
+            out = F.nullif(F.array_join(F.array_sort(F.collect_set(self.cond)), " | "), F.lit(""))
+        else:
+            raise ValueError(self.kind)
+        return out.alias(self.name)
 
 
 def in_window(time: Column, anchor: Column, before_hours: int, after_hours: int) -> Column:
@@ -58,6 +58,16 @@ def in_window(time: Column, anchor: Column, before_hours: int, after_hours: int)
     )
 
 
+def sized_anchors(anchors: DataFrame) -> tuple[DataFrame, int]:
+    """The anchors and the number of parts to spread each key's events over.
+
+    Pass a stored frame: it is counted here and read again by each join.
+    """
+    if anchors.count() <= BROADCAST_ROWS:
+        return F.broadcast(anchors), 1
+    return anchors, SALTS
+
+
 def anchored_rows(
     events: DataFrame,
     anchors: DataFrame,
@@ -69,20 +79,15 @@ def anchored_rows(
     salts: int = SALTS,
 ) -> DataFrame:
     """Events of anchored keys inside the window, with the part they were spread to."""
+    left = events.filter(F.col(time).isNotNull() & F.col(key).isNotNull())
+    right = anchors.filter(F.col(anchor).isNotNull())
+    inside = in_window(F.col(time), F.col(anchor), before_hours, after_hours)
+    if salts == 1:
+        return left.join(right.select(key, anchor), key).filter(inside).withColumn(_SALT, F.lit(0))
     spread = F.pmod(F.xxhash64(F.col(time), F.spark_partition_id()), F.lit(salts)).cast("int")
-    left = events.filter(F.col(time).isNotNull() & F.col(key).isNotNull()).withColumn(_SALT, spread)
-    right = (
-        anchors.filter(F.col(anchor).isNotNull())
-        .select(F.col(key).alias("__key"), F.col(anchor).alias("__anchor"))
-        .withColumn("__anchor_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-    joined = left.join(
-        right,
-        (left[key] == right["__key"])
-        & (left[_SALT] == right["__anchor_part"])
-        & in_window(left[time], right["__anchor"], before_hours, after_hours),
-    )
-    return joined.drop("__key", "__anchor_part").withColumnRenamed("__anchor", anchor)
+    parts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    right = right.select(key, anchor, parts.alias(_SALT))
+    return left.select("*", spread.alias(_SALT)).join(right, [key, _SALT]).filter(inside)
 
 
 def anchored_interval_join(events: DataFrame, anchors: DataFrame, time: str, **window) -> DataFrame:
@@ -91,15 +96,30 @@ def anchored_interval_join(events: DataFrame, anchors: DataFrame, time: str, **w
 
 
 def anchored_features(
-    events: DataFrame, anchors: DataFrame, time: str, features: list[Feature], keep: Column | None = None, **window
+    events: DataFrame,
+    anchors: DataFrame,
+    time: str,
+    texts: Mapping[str, Column],
+    features: list[Feature],
+    number: str | None = None,
+    parse: Callable[[Column], Column] = lambda column: column,
+    keep: Column | None = None,
+    **window,
 ) -> DataFrame:
-    """One row per key that has a windowed event; feature expressions see raw event columns."""
+    """One row per key that has a windowed event.
+
+    The events' columns besides key, time and ``number`` are the raw texts;
+    ``texts`` names the cleaned columns that ``keep`` and the features use.
+    """
     key = window.get("key", KEY)
     rows = anchored_rows(events, anchors, time, **window)
+    value = F.lit(None).cast("double") if number is None else parse(F.col(number))
+    raw = [c for c in events.columns if c not in (key, time, number)]
+    reduced = rows.groupBy(key, _SALT, *raw).agg(F.max(value).alias(HIGH), F.min(value).alias(LOW))
+    cleaned = reduced.select(key, HIGH, LOW, *[column.alias(name) for name, column in texts.items()])
     if keep is not None:
-        rows = rows.filter(keep)
-    per_part = rows.groupBy(key, _SALT).agg(*[f.partial() for f in features])
-    return per_part.groupBy(key).agg(*[f.final() for f in features])
+        cleaned = cleaned.filter(keep)
+    return cleaned.groupBy(key).agg(*[f.aggregate() for f in features])
 
 
 def anchored_ids(events: DataFrame, anchors: DataFrame, time: str, flag_name: str, **window) -> DataFrame:

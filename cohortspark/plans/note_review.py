@@ -8,7 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import case_insensitive, extract_snippet, normalize_text, parse_flexible_datetime
+from ..functions.scalars import (
+    case_insensitive,
+    extract_snippet,
+    may_match,
+    normalize_text,
+    parse_flexible_datetime,
+    search_text,
+)
 from ..functions.semantics import any_flag, count_where, flag, sum_or_zero
 from ..operators.quantiles import null_safe_join
 from ..sources.io import ensure_columns, optional_column, require_columns
@@ -87,17 +94,23 @@ def dictionary_flags(notes: DataFrame, concepts: Iterable[tuple] = CONCEPTS, dom
     """
     concepts = list(concepts)
     patterns = concept_patterns(concepts, domain)
-    cleaned = notes.withColumn("note_text_clean", normalize_text(F.col("NOTE_TEXT")))
+    cleaned = notes.withColumn("note_text_clean", normalize_text(F.col("NOTE_TEXT"))).withColumn(
+        "__search", search_text(F.col("note_text_clean"))
+    )
     columns: dict[str, Column] = {}
     for group in concept_groups(concepts):
         if group in patterns:
             pattern = patterns[group]
-            columns[f"any_{group}"] = F.col("note_text_clean").rlike(case_insensitive(pattern)).cast("int")
-            columns[f"snippet_{group}"] = extract_snippet(F.col("NOTE_TEXT"), pattern)
+            found = F.col("note_text_clean").rlike(case_insensitive(pattern)).cast("int")
+            snippet = extract_snippet(F.col("NOTE_TEXT"), pattern)
+            # Most notes hold none of a group's literals; plain substring search rules them out.
+            maybe = may_match(F.col("__search"), pattern)
+            columns[f"any_{group}"] = found if maybe is None else F.when(maybe, found).otherwise(0)
+            columns[f"snippet_{group}"] = snippet if maybe is None else F.when(maybe, snippet)
         else:
             columns[f"any_{group}"] = F.lit(0)
             columns[f"snippet_{group}"] = F.lit(None).cast("string")
-    return cleaned.withColumns(columns)
+    return cleaned.withColumns(columns).drop("__search")
 
 
 def note_datetime(notes: DataFrame) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import clean_string, parse_dt, to_num, try_num, upper_code
 from ..functions.semantics import flag, in_set, known, sum_or_zero
 from ..operators.anchors import KEY, SUPPORTIVE_DX, dx_flags, icu_anchor, poa_cancer
-from ..operators.windows import Feature, anchored_features, anchored_ids
+from ..operators.windows import Feature, anchored_features, anchored_ids, sized_anchors
 from ..sources.io import materialize, require_tables
 
 ADULT_AGE = 18
@@ -156,26 +156,31 @@ def _no_events(anchors: DataFrame, flags: list[str], values: list[str], text: tu
 def resp_features(respiratory: DataFrame | None, anchors: DataFrame, **window) -> DataFrame:
     if respiratory is None:
         return _no_events(anchors, SUPPORT_FLAGS[:3], ["max_fio2"])
-    device = clean_string(F.col("device_category"))
+    device = F.col("device")
     return anchored_features(
         _events(respiratory, "recorded_dttm", ["device_category", "fio2_set"]),
         anchors,
         "recorded_dttm",
+        {"device": clean_string(F.col("device_category"))},
         [
             Feature("any_imv", "any", device == "imv"),
             Feature("any_hfnc", "any", device.isin(*HFNC_DEVICES)),
             Feature("any_nippv", "any", device.isin(*NIPPV_DEVICES)),
-            Feature("max_fio2", "max", try_num(F.col("fio2_set"))),
+            Feature("max_fio2", "max", F.lit(True)),
         ],
+        number="fio2_set",
+        parse=try_num,
         **window,
     )
 
 
+def _medication_texts() -> dict[str, Column]:
+    return {"name": clean_string(F.col("med_name")), "category": clean_string(F.col("med_category"))}
+
+
 def _drug(drugs: list[str]) -> Column:
     """Drug named in the medication text, or the category itself."""
-    return clean_string(F.col("med_name")).rlike("|".join(drugs)) | in_set(
-        clean_string(F.col("med_category")), drugs
-    )
+    return F.col("name").rlike("|".join(drugs)) | in_set(F.col("category"), drugs)
 
 
 def vasopressor_features(continuous: DataFrame | None, anchors: DataFrame, **window) -> DataFrame:
@@ -185,6 +190,7 @@ def vasopressor_features(continuous: DataFrame | None, anchors: DataFrame, **win
         _events(continuous, "admin_dttm", ["med_name", "med_category"]),
         anchors,
         "admin_dttm",
+        _medication_texts(),
         [Feature("any_vasopressor", "any", _drug(VASOPRESSORS))],
         **window,
     )
@@ -205,17 +211,18 @@ def administered(action: Column) -> Column:
 def steroid_rescue_features(intermittent: DataFrame | None, anchors: DataFrame, **window) -> DataFrame:
     if intermittent is None:
         return _no_events(anchors, TREATMENT_FLAGS, [], ("steroid_names",))
-    name, steroid = clean_string(F.col("med_name")), _drug(STEROIDS)
+    steroid = _drug(STEROIDS)
     return anchored_features(
         _events(intermittent, "admin_dttm", ["med_name", "med_category", "mar_action_group"]),
         anchors,
         "admin_dttm",
+        {**_medication_texts(), "action": F.col("mar_action_group")},
         [
             Feature("any_steroid", "any", steroid),
-            Feature("any_rescue_immunosuppression", "any", name.rlike("|".join(RESCUE_DRUGS))),
-            Feature("steroid_names", "names", F.when(steroid, name)),
+            Feature("any_rescue_immunosuppression", "any", F.col("name").rlike("|".join(RESCUE_DRUGS))),
+            Feature("steroid_names", "names", F.when(steroid, F.col("name"))),
         ],
-        keep=administered(F.col("mar_action_group")),
+        keep=administered(F.col("action")),
         **window,
     )
 
@@ -224,16 +231,17 @@ def lab_features(labs: DataFrame | None, anchors: DataFrame, **window) -> DataFr
     """Extreme value per analyte; the analyte is recognised in the category or the name."""
     if labs is None:
         return _no_events(anchors, [], list(LAB_ANALYTES))
-    category, name = clean_string(F.col("lab_category")), clean_string(F.col("lab_name"))
-    value = to_num(F.col("lab_value"))
     return anchored_features(
         _events(labs, "lab_result_dttm", ["lab_category", "lab_name", "lab_value"]),
         anchors,
         "lab_result_dttm",
+        {"category": clean_string(F.col("lab_category")), "name": clean_string(F.col("lab_name"))},
         [
-            Feature(column, kind, F.when(category.rlike(pattern) | name.rlike(pattern), value))
+            Feature(column, kind, F.col("category").rlike(pattern) | F.col("name").rlike(pattern))
             for column, (kind, pattern) in LAB_ANALYTES.items()
         ],
+        number="lab_value",
+        parse=to_num,
         **window,
     )
 
@@ -263,15 +271,14 @@ def vital_features(vitals: DataFrame | None, anchors: DataFrame, **window) -> Da
     if vitals is None:
         out = _no_events(anchors, [], list(VITAL_SIGNS))
     else:
-        value = try_num(F.col("vital_value"))
         out = anchored_features(
             _events(vitals, "recorded_dttm", ["vital_category", "vital_value"]),
             anchors,
             "recorded_dttm",
-            [
-                Feature(column, kind, F.when(F.col("vital_category") == sign, value))
-                for column, (kind, sign) in VITAL_SIGNS.items()
-            ],
+            {"sign": F.col("vital_category")},
+            [Feature(column, kind, F.col("sign") == sign) for column, (kind, sign) in VITAL_SIGNS.items()],
+            number="vital_value",
+            parse=try_num,
             **{"after_hours": 24, **window},
         )
     return out.withColumns(
@@ -367,15 +374,15 @@ def irae_features(
     """
     require_tables(tables)
     cohort = store(cancer_icu_broad(tables["hospitalization"], tables["adt"], tables["hospital_diagnosis"]))
-    anchors = cohort.select(KEY, "first_icu_in")
+    anchors, salts = sized_anchors(cohort.select(KEY, "first_icu_in"))
     blocks = [
         dx_flags(tables["hospital_diagnosis"].join(anchors.select(KEY), KEY, "left_semi")),
-        resp_features(tables.get("respiratory_support"), anchors),
-        vasopressor_features(tables.get("medication_admin_continuous"), anchors),
-        crrt_features(tables.get("crrt_therapy"), anchors),
-        steroid_rescue_features(tables.get("medication_admin_intermittent"), anchors),
-        lab_flags(lab_features(tables.get("labs"), anchors)),
-        vital_features(tables.get("vitals"), anchors),
+        resp_features(tables.get("respiratory_support"), anchors, salts=salts),
+        vasopressor_features(tables.get("medication_admin_continuous"), anchors, salts=salts),
+        crrt_features(tables.get("crrt_therapy"), anchors, salts=salts),
+        steroid_rescue_features(tables.get("medication_admin_intermittent"), anchors, salts=salts),
+        lab_flags(lab_features(tables.get("labs"), anchors, salts=salts)),
+        vital_features(tables.get("vitals"), anchors, salts=salts),
     ]
     return irae_tiers(irae_modules(irae_counts(feature_assembly(cohort, blocks)), fio2_cut))
 

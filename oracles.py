@@ -233,7 +233,7 @@ CTES["year_counts"] = """select icu_year, count(*) as n, coalesce(cast(sum(pheno
 CTES["year_rate"] = f"select *, {RATE.format(e='cases', n='n')} from year_counts"
 
 
-def statement(final: str, digits: int | None = None, floats: list[str] | None = None) -> str:
+def statement(final: str, floats: list[str] | None = None) -> str:
     """WITH clause of everything ``final`` needs, then ``final``, floats rounded."""
     texts = {**{name: duckdb_view(name) for name in VIEWS}, **CTES}
     needed: list[str] = []
@@ -249,7 +249,7 @@ def statement(final: str, digits: int | None = None, floats: list[str] | None =
     visit(final, ())
     if floats:
         final = "select * replace (" + ", ".join(
-            f"round({c}, {digits or 6}) as {c}" for c in floats
+            f"round(round({c}, 9), 6) as {c}" for c in floats
         ) + f") from ({final}) z"
     head = ",\n".join(f"{name} as ({texts[name]})" for name in needed)
     return f"with {head}\n{final}" if head else final

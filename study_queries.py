@@ -42,10 +42,10 @@ CONCEPTS = [*lookups.CONCEPTS, *TEST_CONCEPTS]
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that both engines' last digits agree."""
+    """Doubles rounded, first finely, so that a last-bit difference between engines cannot flip a half."""
     return df.select(
         *[
-            F.round(F.col(f"`{f.name}`"), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType)
+            F.round(F.round(F.col(f"`{f.name}`"), digits + 3), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType)
             else F.col(f"`{f.name}`")
             for f in df.schema
         ]
@@ -492,13 +492,19 @@ def _(spark, sf):
     return counts.withColumns(sc.rate_with_ci(F.col("events"), F.col("n")))
 
 
-def snippet_sql(x: str, pattern: str) -> str:
-    before = f"length(string_split_regex({x}, '(?i){pattern}')[1])"
-    found = f"length(regexp_extract({x}, '(?i)({pattern})'))"
+def letters_sql(x: str) -> str:
+    """Accented letters as underscores: the oracle's word boundaries know ASCII only; lengths stay."""
+    return f"regexp_replace({x}, '[À-ÖØ-öø-ɏ]', '_', 'g')"
+
+
+def snippet_sql(x: str, pattern: str, searched: str | None = None) -> str:
+    y = searched or letters_sql(x)
+    before = f"length(string_split_regex({y}, '(?i){pattern}')[1])"
+    found = f"length(regexp_extract({y}, '(?i)({pattern})'))"
     start = f"greatest(1, {before} + 1 - 90)"
     stop = f"least(length({x}), {before} + {found} + 90)"
     cut = f"substring({x}, cast({start} as bigint), cast({stop} - {start} + 1 as bigint))"
-    return f"case when regexp_matches({x}, '(?i){pattern}') then {o.squish(cut)} end"
+    return f"case when regexp_matches({y}, '(?i){pattern}') then {o.squish(cut)} end"
 
 
 @register(
@@ -658,17 +664,19 @@ from events e join a using (user_id) where e.ts between t0 - interval 24 hour an
 )
 def _(spark, sf):
     events = source(spark, sf, "events")
-    kind, value = F.col("event_type"), F.col("value")
-    first_error = events.filter(kind == "error").groupBy("user_id").agg(F.min("ts").alias("t0"))
+    first_error = events.filter(F.col("event_type") == "error").groupBy("user_id").agg(F.min("ts").alias("t0"))
+    kind = F.col("kind")
     return windows.anchored_features(
         events.select("user_id", "ts", "event_type", "value"),
         first_error,
         "ts",
+        {"kind": F.col("event_type")},
         [
-            windows.Feature("purchase_max", "max", F.when(kind == "purchase", value)),
-            windows.Feature("view_min", "min", F.when(kind == "view", value)),
+            windows.Feature("purchase_max", "max", kind == "purchase"),
+            windows.Feature("view_min", "min", kind == "view"),
             windows.Feature("any_click", "any", kind == "click"),
         ],
+        number="value",
         key="user_id",
         anchor="t0",
     )
@@ -718,7 +726,8 @@ def _(spark, sf):
 def _block(name: str, view: str, fn, sql: str, floats: list[str] | None = None):
     @register(name, sql, floats)
     def _(spark, sf):
-        return fn(spark_view(spark, sf, view), anchor_frame(spark, sf))
+        rows, salts = windows.sized_anchors(io.materialize(anchor_frame(spark, sf)))
+        return fn(spark_view(spark, sf, view), rows, salts=salts)
 
 
 _block("resp_features", "respiratory_support", phenotype.resp_features, "select * from resp", ["max_fio2"])
@@ -727,7 +736,7 @@ _block("crrt_features", "crrt_therapy", phenotype.crrt_features, "select * from
 _block("steroid_rescue_features", "medication_admin_intermittent", phenotype.steroid_rescue_features,
        "select * from steroid")
 _block("lab_features", "labs", phenotype.lab_features, "select * from lab_values", list(phenotype.LAB_ANALYTES))
-_block("lab_flags", "labs", lambda t, a: phenotype.lab_flags(phenotype.lab_features(t, a)),
+_block("lab_flags", "labs", lambda t, a, **w: phenotype.lab_flags(phenotype.lab_features(t, a, **w)),
        "select * from lab", list(phenotype.LAB_ANALYTES))
 _block("vital_features", "vitals", phenotype.vital_features, "select * from vital", list(phenotype.VITAL_SIGNS))
 
@@ -739,7 +748,8 @@ _block("vital_features", "vitals", phenotype.vital_features, "select * from vita
     ["ferritin_max", "troponin_max", "creat_max"],
 )
 def _(spark, sf):
-    labs = phenotype.lab_flags(phenotype.lab_features(spark_view(spark, sf, "labs"), anchor_frame(spark, sf)))
+    rows, salts = windows.sized_anchors(io.materialize(anchor_frame(spark, sf)))
+    labs = phenotype.lab_flags(phenotype.lab_features(spark_view(spark, sf, "labs"), rows, salts=salts))
     return labs.select(
         "hospitalization_id", "ferritin_max", "troponin_max", "creat_max", "inflam_marker_positive",
         "myocarditis_lab_positive", "renal_lab_positive",
@@ -1198,11 +1208,12 @@ def notes_sql() -> dict[str, str]:
                 columns += [f"0 as any_{g}", f"cast(null as varchar) as snippet_{g}"]
             else:
                 columns.append(f"cast(regexp_matches(txt, '(?i){p}') as int) as any_{g}")
-                columns.append(f"{snippet_sql('NOTE_TEXT', p)} as snippet_{g}")
+                columns.append(f"{snippet_sql('NOTE_TEXT', p, 'raw')} as snippet_{g}")
         parts.append(
             f"select MRN, HAR, NOTE_ID, PROC_NAME, NOTE_TEXT, '{kind}' as note_source, {NOTE_TIME_SQL} as note_datetime, "
             + ", ".join(columns)
-            + f" from (select *, {o.norm('NOTE_TEXT')} as txt from notes where note_kind = '{kind}' and {where}) s"
+            + f" from (select *, {letters_sql(o.norm('NOTE_TEXT'))} as txt, {letters_sql('NOTE_TEXT')} as raw from notes "
+            f"where note_kind = '{kind}' and {where}) s"
         )
     score = " + ".join(f"{w} * any_{g}" for g, w in note_review.SCORE_WEIGHTS.items())
     ici = " or ".join(f"any_{g} = 1" for g in note_review.ICI_GROUPS)
