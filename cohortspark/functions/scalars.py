@@ -237,6 +237,11 @@ def needed_literals(pattern: str) -> list[str] | None:
     return list(dict.fromkeys(out))
 
 
+def is_plain(pattern: str) -> bool:
+    """Only literal alternatives, so that containing one of them is a match."""
+    return all(re.fullmatch(r"[a-z0-9\-]+( [a-z0-9\-]+)*", part) for part in pattern.split("|"))
+
+
 def search_text(clean_text: Column) -> Column:
     """Normalized text for ``may_match``: two letters that case-insensitive search
     equates with i and s keep their own lower-case form, so they are mapped."""

@@ -89,24 +89,23 @@ def _levels(patterns: DataFrame, factors: list[str]) -> dict[str, list[str]]:
     return {f: row[f] for f in factors}
 
 
-def _independent_terms(points: DataFrame, terms: list[str]) -> tuple[list[str], list[str]]:
+def _independent_terms(wide: DataFrame, terms: list[str]) -> tuple[list[str], list[str]]:
     """Keep each term that is not a linear combination of the intercept and earlier terms."""
-    corr = Correlation.corr(points, "features").first()[0].toArray()
+    varies = wide.agg(*[(F.min(f"x{i}") < F.max(f"x{i}")).alias(f"x{i}") for i in range(len(terms))]).first()
+    moving = [i for i in range(len(terms)) if varies[f"x{i}"]]
     kept: list[int] = []
-    for i in range(len(terms)):
-        if not np.isfinite(corr[i, [j for j in range(len(terms)) if j != i]]).any() and len(terms) > 1:
-            continue
-        if len(terms) == 1 and not math.isfinite(corr[i, i]):
-            continue
-        if kept:
-            known = corr[np.ix_(kept, kept)]
-            with_i = corr[kept, i]
-            left = 1.0 - with_i @ np.linalg.solve(known, with_i)
-        else:
+    if moving:
+        points = VectorAssembler(inputCols=[f"x{i}" for i in moving], outputCol="features").transform(wide)
+        corr = Correlation.corr(points.select("features"), "features").first()[0].toArray()
+        for i in range(len(moving)):
             left = 1.0
-        if left > 1e-9:
-            kept.append(i)
-    return [terms[i] for i in kept], [t for i, t in enumerate(terms) if i not in kept]
+            if kept:
+                with_i = corr[kept, i]
+                left -= with_i @ np.linalg.solve(corr[np.ix_(kept, kept)], with_i)
+            if left > 1e-9:
+                kept.append(i)
+    names = [terms[moving[i]] for i in kept]
+    return names, [t for t in terms if t not in names]
 
 
 def _assembled(df: DataFrame, terms: list[str]) -> DataFrame:
@@ -116,7 +115,7 @@ def _assembled(df: DataFrame, terms: list[str]) -> DataFrame:
 def _glr(family: str, **params) -> GeneralizedLinearRegression:
     link = {"binomial": "logit", "gaussian": "identity"}[family]
     return GeneralizedLinearRegression(
-        family=family, link=link, labelCol="y", weightCol="w", featuresCol="features", maxIter=50, tol=1e-10, **params
+        family=family, link=link, labelCol="y", weightCol="w", featuresCol="features", maxIter=50, tol=1e-6, **params
     )
 
 
@@ -163,7 +162,7 @@ def t_quantile(prob: float, df: float) -> float:
 
 @dataclass
 class _Problem:
-    patterns: DataFrame
+    cached: DataFrame
     design: Design
     terms: list[str]
     aliased: list[str]
@@ -174,13 +173,17 @@ def _problem(patterns: DataFrame, numeric: list[str], factors: list[str]) -> _Pr
     design = Design(numeric, factors, _levels(patterns, factors))
     names = list(design.terms)
     columns = [design.terms[t].alias(f"x{i}") for i, t in enumerate(names)]
-    wide = patterns.select("*", *columns)
-    points = _assembled(wide, names)
-    terms, aliased = _independent_terms(points.select("features"), names)
-    if aliased:
-        columns = [design.terms[t].alias(f"x{i}") for i, t in enumerate(terms)]
-        points = _assembled(patterns.select("*", *columns), terms)
-    return _Problem(patterns, design, terms, aliased, points.persist())
+    wide = patterns.select("*", *columns).persist()
+    terms, aliased = _independent_terms(wide, names)
+    if not terms:
+        wide.unpersist()
+        raise ValueError("No model term varies over the complete cases.")
+    # Later columns refer to the kept terms by position.
+    kept = wide.select(
+        *patterns.columns, *[F.col(f"x{names.index(t)}").alias(f"x{i}") for i, t in enumerate(terms)]
+    )
+    points = _assembled(kept, terms)
+    return _Problem(wide, design, terms, aliased, points)
 
 
 def fit_logistic(
@@ -226,7 +229,7 @@ def fit_logistic(
                     i = problem.terms.index(t)
                     limits[t] = _profile(problem, i, betas[i], errors[i], summary.deviance, z)
     finally:
-        problem.points.unpersist()
+        problem.cached.unpersist()
     rows = []
     for t, b, s in zip([*problem.terms, INTERCEPT], betas, errors):
         stat = b / s if s else float("nan")
@@ -298,8 +301,8 @@ def fit_linear(
     n = int(size["n"])
     problem = _problem(patterns, numeric, factors)
     try:
-        # Repeat each pattern as its own row pair would not change the fit; the
-        # residual spread is rebuilt from the within- and between-pattern parts.
+        # Pattern means give the same coefficients as the rows; the residual spread
+        # is the sum of its within-pattern and between-pattern parts.
         model = _glr("gaussian").fit(problem.points)
         summary = model.summary
         betas = [*model.coefficients.toArray().tolist(), model.intercept]
@@ -311,7 +314,7 @@ def fit_linear(
         scale = ((size["within"] + between) / (n - rank)) / (between / free_patterns)
         errors = [s * math.sqrt(scale) for s in summary.coefficientStandardErrors]
     finally:
-        problem.points.unpersist()
+        problem.cached.unpersist()
     q = t_quantile(0.5 + level / 2, n - rank)
     rows = []
     for t, b, s in zip([*problem.terms, INTERCEPT], betas, errors):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import (
     case_insensitive,
     extract_snippet,
+    is_plain,
     may_match,
     normalize_text,
     parse_flexible_datetime,
@@ -105,7 +106,9 @@ def dictionary_flags(notes: DataFrame, concepts: Iterable[tuple] = CONCEPTS, dom
             snippet = extract_snippet(F.col("NOTE_TEXT"), pattern)
             # Most notes hold none of a group's literals; plain substring search rules them out.
             maybe = may_match(F.col("__search"), pattern)
-            columns[f"any_{group}"] = found if maybe is None else F.when(maybe, found).otherwise(0)
+            if maybe is not None:
+                found = maybe.cast("int") if is_plain(pattern) else F.when(maybe, found).otherwise(0)
+            columns[f"any_{group}"] = found
             columns[f"snippet_{group}"] = snippet if maybe is None else F.when(maybe, snippet)
         else:
             columns[f"any_{group}"] = F.lit(0)
