@@ -168,7 +168,7 @@ def cancer_type_broad(codes: Column) -> Column:
 
 def discharge_flag(name_clean: Column, category_clean: Column, keywords: str) -> Column:
     """Keyword in either text; stays missing if one is missing and the other has no match."""
-    return (name_clean.rlike(keywords) | category_clean.rlike(keywords)).cast("int")
+    return (mentions(name_clean, keywords) | mentions(category_clean, keywords)).cast("int")
 
 
 def days_between(start: Column, end: Column) -> Column:
@@ -242,6 +242,17 @@ def is_plain(pattern: str) -> bool:
     return all(re.fullmatch(r"[a-z0-9\-]+( [a-z0-9\-]+)*", part) for part in pattern.split("|"))
 
 
+def mentions(col: Column, pattern: str) -> Column:
+    """Pattern found in a cleaned text; plain alternatives need no regular expression."""
+    if not is_plain(pattern):
+        return col.rlike(pattern)
+    first, *rest = pattern.split("|")
+    out = col.contains(first)
+    for literal in rest:
+        out = out | col.contains(literal)
+    return out
+
+
 def search_text(clean_text: Column) -> Column:
     """Normalized text for ``may_match``: two letters that case-insensitive search
     equates with i and s keep their own lower-case form, so they are mapped."""

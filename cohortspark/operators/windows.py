@@ -51,11 +51,9 @@ class Feature:
         return out.alias(self.name)
 
 
-def in_window(time: Column, anchor: Column, before_hours: int, after_hours: int) -> Column:
-    """Closed at both ends."""
-    return time.between(
-        anchor - F.expr(f"INTERVAL '{before_hours}' HOUR"), anchor + F.expr(f"INTERVAL '{after_hours}' HOUR")
-    )
+def window_bounds(anchor: Column, before_hours: int, after_hours: int) -> tuple[Column, Column]:
+    """Both bounds belong to the window."""
+    return anchor - F.expr(f"INTERVAL '{before_hours}' HOUR"), anchor + F.expr(f"INTERVAL '{after_hours}' HOUR")
 
 
 def sized_anchors(anchors: DataFrame) -> tuple[DataFrame, int]:
@@ -80,14 +78,18 @@ def anchored_rows(
 ) -> DataFrame:
     """Events of anchored keys inside the window, with the part they were spread to."""
     left = events.filter(F.col(time).isNotNull() & F.col(key).isNotNull())
-    right = anchors.filter(F.col(anchor).isNotNull())
-    inside = in_window(F.col(time), F.col(anchor), before_hours, after_hours)
+    # The bounds are computed once per anchor, not once per event.
+    first, last = window_bounds(F.col(anchor), before_hours, after_hours)
+    right = anchors.filter(F.col(anchor).isNotNull()).select(
+        key, anchor, first.alias("__first"), last.alias("__last")
+    )
     if salts == 1:
-        return left.join(right.select(key, anchor), key).filter(inside).withColumn(_SALT, F.lit(0))
-    spread = F.pmod(F.xxhash64(F.col(time), F.spark_partition_id()), F.lit(salts)).cast("int")
-    parts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    right = right.select(key, anchor, parts.alias(_SALT))
-    return left.select("*", spread.alias(_SALT)).join(right, [key, _SALT]).filter(inside)
+        joined = left.join(right, key).withColumn(_SALT, F.lit(0))
+    else:
+        spread = F.pmod(F.xxhash64(F.col(time), F.spark_partition_id()), F.lit(salts)).cast("int")
+        parts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+        joined = left.select("*", spread.alias(_SALT)).join(right.select("*", parts.alias(_SALT)), [key, _SALT])
+    return joined.filter(F.col(time).between(F.col("__first"), F.col("__last"))).drop("__first", "__last")
 
 
 def anchored_interval_join(events: DataFrame, anchors: DataFrame, time: str, **window) -> DataFrame:
@@ -115,7 +117,10 @@ def anchored_features(
     rows = anchored_rows(events, anchors, time, **window)
     value = F.lit(None).cast("double") if number is None else parse(F.col(number))
     raw = [c for c in events.columns if c not in (key, time, number)]
-    reduced = rows.groupBy(key, _SALT, *raw).agg(F.max(value).alias(HIGH), F.min(value).alias(LOW))
+    numbered = rows.select(key, _SALT, *raw, value.alias("__number"))
+    reduced = numbered.groupBy(key, _SALT, *raw).agg(
+        F.max("__number").alias(HIGH), F.min("__number").alias(LOW)
+    )
     cleaned = reduced.select(key, HIGH, LOW, *[column.alias(name) for name, column in texts.items()])
     if keep is not None:
         cleaned = cleaned.filter(keep)

@@ -13,7 +13,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clean_string, parse_dt, to_num, try_num, upper_code
+from ..functions.scalars import clean_string, mentions, parse_dt, to_num, try_num, upper_code
 from ..functions.semantics import flag, in_set, known, sum_or_zero
 from ..operators.anchors import KEY, SUPPORTIVE_DX, dx_flags, icu_anchor, poa_cancer
 from ..operators.windows import Feature, anchored_features, anchored_ids, sized_anchors
@@ -180,7 +180,7 @@ def _medication_texts() -> dict[str, Column]:
 
 def _drug(drugs: list[str]) -> Column:
     """Drug named in the medication text, or the category itself."""
-    return F.col("name").rlike("|".join(drugs)) | in_set(F.col("category"), drugs)
+    return mentions(F.col("name"), "|".join(drugs)) | in_set(F.col("category"), drugs)
 
 
 def vasopressor_features(continuous: DataFrame | None, anchors: DataFrame, **window) -> DataFrame:
@@ -219,7 +219,7 @@ def steroid_rescue_features(intermittent: DataFrame | None, anchors: DataFrame,
         {**_medication_texts(), "action": F.col("mar_action_group")},
         [
             Feature("any_steroid", "any", steroid),
-            Feature("any_rescue_immunosuppression", "any", F.col("name").rlike("|".join(RESCUE_DRUGS))),
+            Feature("any_rescue_immunosuppression", "any", mentions(F.col("name"), "|".join(RESCUE_DRUGS))),
             Feature("steroid_names", "names", F.when(steroid, F.col("name"))),
         ],
         keep=administered(F.col("action")),
@@ -237,7 +237,7 @@ def lab_features(labs: DataFrame | None, anchors: DataFrame, **window) -> DataFr
         "lab_result_dttm",
         {"category": clean_string(F.col("lab_category")), "name": clean_string(F.col("lab_name"))},
         [
-            Feature(column, kind, F.col("category").rlike(pattern) | F.col("name").rlike(pattern))
+            Feature(column, kind, mentions(F.col("category"), pattern) | mentions(F.col("name"), pattern))
             for column, (kind, pattern) in LAB_ANALYTES.items()
         ],
         number="lab_value",
