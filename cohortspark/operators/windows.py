@@ -77,15 +77,18 @@ def anchored_rows(
     salts: int = SALTS,
 ) -> DataFrame:
     """Events of anchored keys inside the window, with the part they were spread to."""
-    left = events.filter(F.col(time).isNotNull() & F.col(key).isNotNull())
     # The bounds are computed once per anchor, not once per event.
     first, last = window_bounds(F.col(anchor), before_hours, after_hours)
     right = anchors.filter(F.col(anchor).isNotNull()).select(
         key, anchor, first.alias("__first"), last.alias("__last")
     )
     if salts == 1:
-        joined = left.join(right, key).withColumn(_SALT, F.lit(0))
+        # The semi-join moves below whatever computes the events' columns (text parsing,
+        # views), so that only the cohort's events are computed at all.
+        mine = events.join(anchors.select(key), key, "left_semi")
+        joined = mine.join(right, key).withColumn(_SALT, F.lit(0))
     else:
+        left = events.filter(F.col(time).isNotNull() & F.col(key).isNotNull())
         spread = F.pmod(F.xxhash64(F.col(time), F.spark_partition_id()), F.lit(salts)).cast("int")
         parts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
         joined = left.select("*", spread.alias(_SALT)).join(right.select("*", parts.alias(_SALT)), [key, _SALT])
