@@ -32,7 +32,11 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 
 def order_statistics(
-    rows: DataFrame, keys: list[str], value: str, targets: Callable[[Column], Column]
+    rows: DataFrame,
+    keys: list[str],
+    value: str,
+    targets: Callable[[Column], Column],
+    few_groups: bool = False,
 ) -> DataFrame:
     """Values at wanted ranks of each group of a numeric column.
 
@@ -40,6 +44,11 @@ def order_statistics(
     structs with a 0-based ``rank`` and any further fields. Returns the keys,
     the struct fields, the value, its ``offset`` (the rank counted within the
     rows of that value) and ``ties`` (the number of those rows).
+
+    ``few_groups`` states that the groups are bounded by the caller (a fixed
+    set of labels, a list of columns): their brackets, a few numbers per group,
+    are then broadcast and the rows stay where they are. Otherwise the planner
+    decides by measured size.
     """
     v, n = F.col(value), F.col("__n")
     sketch = (
@@ -72,6 +81,8 @@ def order_statistics(
         )
 
     brackets = sketch.select(*keys, F.transform(targets(n), bracket).alias("__brackets"))
+    if few_groups:
+        brackets = F.broadcast(brackets)
     inside = null_safe_join(rows.filter(v.isNotNull()), brackets, keys).select(
         *keys, value, F.inline("__brackets")
     )
@@ -102,6 +113,7 @@ def exact_percentiles(
     probs: list[float],
     by: list[str] | None = None,
     label: str = "variable",
+    few_groups: bool = False,
 ) -> DataFrame:
     """Interpolated (type 7) percentiles ``p[i]`` per group and variable; all-missing groups give no row."""
     by = by or []
@@ -118,7 +130,8 @@ def exact_percentiles(
                 )
         return F.filter(F.array(*out), lambda t: t["weight"] > 0)
 
-    found = order_statistics(long_numbers(df, variables, by, label), keys, "value", targets)
+    long = long_numbers(df, variables, by, label)
+    found = order_statistics(long, keys, "value", targets, few_groups=few_groups or not by)
 
     def percentile(i: int) -> Column:
         mine = F.col("i") == i
@@ -157,16 +170,16 @@ def ntile_borders(df: DataFrame, sources: list[str], tiebreak: str, n: int = 4)
         every = F.array(*[F.struct(r.alias("rank"), F.lit(k).alias("k")) for k, r in enumerate(ranks)])
         return F.filter(every, lambda t: t["rank"] < count)
 
-    edges = order_statistics(rows, ["source"], "value", starts).collect()
+    edges = order_statistics(rows, ["source"], "value", starts, few_groups=True).collect()
     split = sorted({(e["source"], e["value"], e["offset"]) for e in edges if e["offset"] > 0})
     keys: dict[tuple, int] = {}
     if split:
         # Rows that tie with an edge value, and the wanted places among them.
         wanted = df.sparkSession.createDataFrame(split, "source string, value double, rank bigint")
         places = wanted.groupBy("source", "value").agg(F.collect_list(F.struct("rank")).alias("__places"))
-        tied = rows.join(places, ["source", "value"])
+        tied = rows.join(F.broadcast(places), ["source", "value"])
         group = ["source", "value", "__places"]
-        for hit in order_statistics(tied, group, "__key", lambda _n: F.col("__places")).collect():
+        for hit in order_statistics(tied, group, "__key", lambda _n: F.col("__places"), few_groups=True).collect():
             keys[hit["source"], hit["value"], hit["rank"]] = hit["__key"]
     borders: dict[str, list[tuple]] = {source: [] for source in sources}
     for e in sorted(edges, key=lambda e: e["k"]):

@@ -36,7 +36,11 @@ def binary_table(
 
 
 def continuous_table(
-    df: DataFrame, variables: list[str], by: list[str] | None = None, label: str = "variable"
+    df: DataFrame,
+    variables: list[str],
+    by: list[str] | None = None,
+    label: str = "variable",
+    few_groups: bool = False,
 ) -> DataFrame:
     """n_nonmissing, mean, sd, median, quartiles, min and max per variable and group."""
     by = by or []
@@ -48,7 +52,7 @@ def continuous_table(
         F.min(value).alias("min"),
         F.max(value).alias("max"),
     )
-    spread = exact_percentiles(df, variables, [0.25, 0.5, 0.75], by, label).select(
+    spread = exact_percentiles(df, variables, [0.25, 0.5, 0.75], by, label, few_groups).select(
         *by, label, F.col("p")[0].alias("p25"), F.col("p")[1].alias("median"), F.col("p")[2].alias("p75")
     )
     return null_safe_join(moments, spread, [*by, label], "left")

@@ -125,7 +125,7 @@ def outcome_desc_binary(data: DataFrame) -> DataFrame:
 
 
 def outcome_desc_continuous(data: DataFrame) -> DataFrame:
-    return continuous_table(with_exposure(data), CONTINUOUS_OUTCOMES, ["exposure_label"], "outcome")
+    return continuous_table(with_exposure(data), CONTINUOUS_OUTCOMES, ["exposure_label"], "outcome", few_groups=True)
 
 
 def table1_binary(data: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def table1_binary(data: DataFrame) -> DataFrame:
 
 
 def table1_continuous(data: DataFrame) -> DataFrame:
-    return continuous_table(with_exposure(data), TABLE1_CONTINUOUS, ["exposure_label"])
+    return continuous_table(with_exposure(data), TABLE1_CONTINUOUS, ["exposure_label"], few_groups=True)
 
 
 def sensitivity_by_tier(data: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def sensitivity_by_tier(data: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), *[(100 * F.avg(name)).alias(f"{name}_pct") for name in names]
     )
     stays = {"hospital_los_days": "median_hospital_los", "icu_los_days": "median_icu_los"}
-    medians = exact_percentiles(flagged, list(stays), [0.5], ["phenotype_tier"])
+    medians = exact_percentiles(flagged, list(stays), [0.5], ["phenotype_tier"], few_groups=True)
     # At most one row per tier and stay.
     wide = medians.groupBy("phenotype_tier").agg(
         *[F.max(F.when(F.col("variable") == v, F.col("p")[0])).alias(name) for v, name in stays.items()]
@@ -173,7 +173,7 @@ def yll_overall(data: DataFrame) -> DataFrame:
 
 
 def _yll_by(deaths: DataFrame, group: str) -> DataFrame:
-    median = exact_percentiles(deaths, ["yll"], [0.5], [group]).select(
+    median = exact_percentiles(deaths, ["yll"], [0.5], [group], few_groups=True).select(
         group, F.col("p")[0].alias("median_yll_per_death")
     )
     return null_safe_join(deaths.groupBy(group).agg(*_yll_stats()), median, [group], "left")

@@ -104,7 +104,11 @@ def admits_per_patient(hospitalization: DataFrame) -> DataFrame:
 
 
 def describe_table(
-    df: DataFrame, categories: list[str], numbers: list[str], by: list[str] | None = None
+    df: DataFrame,
+    categories: list[str],
+    numbers: list[str],
+    by: list[str] | None = None,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Levels with n and percent, numbers with median and quartiles, in one long table."""
     by = by or []
@@ -112,7 +116,7 @@ def describe_table(
         *by, "variable", "level", "n", "pct", *[F.lit(None).cast("double").alias(c) for c in ("median", "p25", "p75")]
     )
     counts = df.groupBy(*by).agg(*[F.count(v).alias(v) for v in numbers]).unpivot(by, numbers, "variable", "n")
-    spread = exact_percentiles(df, numbers, [0.25, 0.5, 0.75], by)
+    spread = exact_percentiles(df, numbers, [0.25, 0.5, 0.75], by, few_groups=few_groups)
     rows = null_safe_join(counts, spread, [*by, "variable"], "left").select(
         *by, "variable", F.lit(None).cast("string").alias("level"), "n", F.lit(None).cast("double").alias("pct"),
         F.col("p")[1].alias("median"), F.col("p")[0].alias("p25"), F.col("p")[2].alias("p75"),
@@ -137,7 +141,7 @@ def table_one_hospitalization(hospitalization: DataFrame, patients: DataFrame, a
         .join(ever_icu, KEY, "left")
         .fillna(0, subset=["ever_icu"])
     )
-    return describe_table(data, STAY_CATEGORIES, STAY_NUMBERS, ["ever_icu"])
+    return describe_table(data, STAY_CATEGORIES, STAY_NUMBERS, ["ever_icu"], few_groups=True)
 
 
 def clean_summary(df: DataFrame, limits: DataFrame, category: str, value: str) -> DataFrame:
