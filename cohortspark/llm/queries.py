@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from cohortspark.llm.simhash import op1_simhash
+from cohortspark.llm import simhash, substrings
 
 QUERIES = {
-    "op1_simhash": op1_simhash,
+    "op1_simhash": simhash.op1_simhash,
+    "op4_substrings": substrings.op4_substrings,
+}
+ORACLES = {
+    "op4_substrings": substrings.OP4_SQL,
 }
-ORACLES: dict[str, str] = {}
