@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from cohortspark.llm import simhash, substrings
+from cohortspark.llm import lines, simhash, sketches, substrings
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op4_substrings": substrings.op4_substrings,
+    "op8_lines": lines.op8_lines,
+    "op9_fingerprints": sketches.op9_fingerprints,
 }
 ORACLES = {
     "op4_substrings": substrings.OP4_SQL,
+    "op8_lines": lines.OP8_SQL,
 }
