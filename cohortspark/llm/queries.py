@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from cohortspark.llm import lines, simhash, sketches, substrings
+from cohortspark.llm import language, lines, secrets, simhash, sketches, substrings, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op4_substrings": substrings.op4_substrings,
+    "op7_language": language.op7_language,
     "op8_lines": lines.op8_lines,
     "op9_fingerprints": sketches.op9_fingerprints,
+    "op10_secrets": secrets.op10_secrets,
 }
 ORACLES = {
     "op4_substrings": substrings.OP4_SQL,
