@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from cohortspark.llm import language, lines, secrets, simhash, sketches, substrings, toxicity
+from cohortspark.llm import language, lines, packing, secrets, simhash, sketches, substrings, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_toxicity": toxicity.op2_toxicity,
     "op4_substrings": substrings.op4_substrings,
+    "op5_packing": packing.op5_packing,
     "op7_language": language.op7_language,
     "op8_lines": lines.op8_lines,
     "op9_fingerprints": sketches.op9_fingerprints,
