@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from cohortspark.llm import language, lines, packing, secrets, simhash, sketches, substrings, toxicity
+from cohortspark.llm import decontamination, language, lines, packing, secrets, simhash, sketches, substrings, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_warc": warc.op3_warc,
     "op4_substrings": substrings.op4_substrings,
     "op5_packing": packing.op5_packing,
+    "op6_decontamination": decontamination.op6_decontamination,
     "op7_language": language.op7_language,
     "op8_lines": lines.op8_lines,
     "op9_fingerprints": sketches.op9_fingerprints,
     "op10_secrets": secrets.op10_secrets,
 }
 ORACLES = {
+    "op3_warc": warc.OP3_SQL,
     "op4_substrings": substrings.OP4_SQL,
     "op8_lines": lines.OP8_SQL,
 }
