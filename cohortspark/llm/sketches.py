@@ -18,7 +18,6 @@ from cohortspark.sources.io import materialize
 K = 128
 SHINGLE = 5
 SEGMENTS = 64
-NO_HASHES = F.array().cast("array<bigint>")
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -31,7 +30,7 @@ def shingle_hashes(text: Column, width: int = SHINGLE) -> Column:
 
     def shingles(h: Column) -> Column:
         each = F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(width)]))
-        return F.when(F.size(h) == 0, NO_HASHES).when(F.size(h) < width, F.array(F.xxhash64(h))).otherwise(each)
+        return F.when(F.size(h) == 0, F.array().cast("array<bigint>")).when(F.size(h) < width, F.array(F.xxhash64(h))).otherwise(each)
 
     return let(F.transform(words_column(text), lambda w: F.xxhash64(w)), shingles)
 
