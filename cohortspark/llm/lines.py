@@ -88,7 +88,8 @@ class LineRuns:
 
 def split_ids(ids: DataFrame, parts: int) -> list[Column]:
     """Conditions on doc_id that deal the rows to about equal batches, largest ids first."""
-    cuts = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.01)}, reverse=True)
+    shares = [i / parts for i in range(1, parts)]
+    cuts = sorted({int(x) for x in ids.approxQuantile("doc_id", shares, 0.01)}, reverse=True) if shares else []
     edges = [None, *cuts, None]
     found = []
     for high, low in zip(edges, edges[1:], strict=False):
