@@ -119,7 +119,7 @@ def fit(training: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
                 sums[lang] = sums.get(lang, 0) + np.bincount(cells(text), minlength=CELLS)
         for lang, count in sums.items():
             at = np.nonzero(count)[0]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(count[at])], names=["lang", "cell", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(count[at].astype(np.int64))], names=["lang", "cell", "n"])
 
     # at most CELLS rows a language
     counted = rows.mapInArrow(run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
