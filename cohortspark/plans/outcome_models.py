@@ -31,8 +31,8 @@ def model_data(data: DataFrame) -> DataFrame:
     )
 
 
-def logistic_model(data: DataFrame, outcome: str, ci: str = "wald") -> Fit | None:
-    return fit_logistic(model_data(data), outcome, NUMERIC, FACTORS, ci=ci, profile_terms=[EXPOSURE])
+def logistic_model(data: DataFrame, outcome: str, ci: str = "profile") -> Fit | None:
+    return fit_logistic(model_data(data), outcome, NUMERIC, FACTORS, ci=ci)
 
 
 def linear_model(data: DataFrame, outcome: str) -> Fit | None:
@@ -41,10 +41,11 @@ def linear_model(data: DataFrame, outcome: str) -> Fit | None:
 
 def trend_model(data: DataFrame, outcome: str = "probable_checkpoint_irae_icu") -> Fit | None:
     """Calendar year as a continuous term."""
-    return fit_logistic(model_data(data), outcome, ["icu_year"])
+    return fit_logistic(model_data(data), outcome, ["icu_year"], ci="profile")
 
 
-def all_models(data: DataFrame, ci: str = "wald") -> DataFrame:
+def all_models(data: DataFrame, ci: str = "profile") -> DataFrame:
+    """Every term of every model."""
     fits = [(logistic_model(data, o, ci), o, EXPOSURE) for o in LOGISTIC_OUTCOMES]
     fits += [(linear_model(data, o), o, EXPOSURE) for o in LINEAR_OUTCOMES]
     odds = [True] * len(LOGISTIC_OUTCOMES) + [False] * len(LINEAR_OUTCOMES)

@@ -1029,6 +1029,11 @@ def _(spark, sf):
     return outcome_models.model_results(outcome_models.all_models(stored_analysis(spark, sf)))
 
 
+@register("model_results_all_terms")
+def _(spark, sf):
+    return outcome_models.all_models(stored_analysis(spark, sf))
+
+
 @register(
     "factor_missing_level",
     "select coalesce(admission_type_category, 'missing') as admission_type_category, coalesce(cancer_type_broad, 'missing') "
@@ -1168,7 +1173,7 @@ def _(spark, sf):
 
 @register("forest_table")
 def _(spark, sf):
-    return exposure.forest_table(exposure.pollution_models(stored_quartiles(spark, sf), ci="wald"))
+    return exposure.forest_table(exposure.pollution_models(stored_quartiles(spark, sf)))
 
 
 @register("attributable_yll_patient")

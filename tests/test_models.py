@@ -109,3 +109,62 @@ def test_too_few_rows_give_no_fit(data, spark):
     assert models.fit_logistic(df, "y", ["age"], min_events=10**6) is None
     assert models.tidy(spark, [(None, "y", "age")], [True]).count() == 0
     assert models._exp(1e4) == math.inf
+
+
+def test_profile_limits_of_every_term(data):
+    from pyspark.sql import functions as F
+
+    df, x, y, _ = data
+    fit = models.fit_logistic(df.withColumn("year", F.col("year") - 1998), "y", ["age", "year"], ["g"], ci="profile")
+    x = x - np.array([0, 0, 1998, 0, 0])
+    full, _, best = irls(x, y)
+    names = ["(Intercept)", "age", "year", "gb", "gc"]
+    assert [r[0] for r in fit.rows] == names and fit.converged and set(fit.ci_methods.values()) == {"profile"}
+    for i, row in enumerate(fit.rows):
+        for bound in row[5:7]:
+            others, offset, beta = np.delete(x, i, axis=1), bound * x[:, i], np.delete(full, i)
+            for _ in range(60):
+                mu = 1 / (1 + np.exp(-(others @ beta + offset)))
+                beta = beta + np.linalg.solve(others.T @ ((mu * (1 - mu))[:, None] * others), others.T @ (y - mu))
+            mu = 1 / (1 + np.exp(-(others @ beta + offset)))
+            deviance = -2 * np.sum(np.where(y == 1, np.log(mu), np.log(1 - mu)))
+            assert deviance - best == pytest.approx(3.841459, rel=1e-3), names[i]
+
+
+def test_separated_data_are_told(spark):
+    df = spark.createDataFrame([(float(i), int(i >= 20)) for i in range(40)], "x double, y int")
+    for ci in ("wald", "profile"):
+        fit = models.fit_logistic(df, "y", ["x"], ci=ci)
+        assert not fit.converged and all(r[5:] == (None, None) for r in fit.rows) and set(fit.ci_methods.values()) == {"none"}
+    rows = models.tidy(spark, [(fit, "y", "x")], [True]).collect()
+    assert all(r["conf.low"] is None and r.converged is False for r in rows)
+
+
+def test_saturated_linear_models(spark):
+    rng = np.random.default_rng(3)
+    for levels in ("abc", "ab"):
+        group = [levels[i % len(levels)] for i in range(180)]
+        y = [2.0 + ord(g) + float(e) for g, e in zip(group, rng.normal(size=180), strict=True)]
+        df = spark.createDataFrame(list(zip(group, y, strict=True)), "g string, y double")
+        fit = models.fit_linear(df, "y", [], ["g"])
+        x = np.column_stack([np.ones(180), *[[float(g == v) for g in group] for v in levels[1:]]])
+        beta, rss, *_ = np.linalg.lstsq(x, np.array(y), rcond=None)
+        error = np.sqrt(np.diag(np.linalg.inv(x.T @ x)) * rss[0] / (180 - len(levels)))
+        assert [r[1] for r in fit.rows] == pytest.approx(list(beta)) and [r[2] for r in fit.rows] == pytest.approx(list(error))
+    exact = models.fit_linear(spark.createDataFrame([(1.0, 2.0), (2.0, 4.0)], "x double, y double"), "y", ["x"])
+    assert exact.rows[1][1] == pytest.approx(2.0) and exact.rows[1][2] is None
+
+
+def test_two_thousand_levels(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"l{i:04d}", int(y)) for i in range(2000) for y in [0, 1, *rng.integers(0, 2, 4)]]
+    df = spark.createDataFrame(rows, "g string, y int")
+    fit = models.fit_logistic(df, "y", [], ["g"])
+    assert len(fit.rows) == 2000 and fit.converged
+    by_level = {}
+    for g, y in rows:
+        by_level.setdefault(g, []).append(y)
+    odds = {g: math.log(sum(v) / (len(v) - sum(v))) for g, v in by_level.items()}
+    for term, estimate, *_ in (fit.rows[0], fit.rows[1], fit.rows[-1]):
+        expected = odds["l0000"] if term == models.INTERCEPT else odds[term[1:]] - odds["l0000"]
+        assert estimate == pytest.approx(expected, abs=1e-6)
