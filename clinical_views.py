@@ -7,13 +7,8 @@ to text unless it is whole, and every view covers its whole source table.
 
 from __future__ import annotations
 
-import os
-
-from pyarrow.parquet import ParquetFile
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
-SPREAD_BYTES = 1_000_000
 SOURCES = ["nation", "customer", "orders", "lineitem", "documents", "conversations", "events", "labels"]
 
 VIEWS = {
@@ -154,24 +149,9 @@ STUDY = [
 ]
 
 
-_FOOTERS: dict[str, tuple[StructType, bool]] = {}
-
-
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; its footer is read once per process.
-
-    A file of one row group is read by one task however many cores there are,
-    so such a file (at most some megabytes here) is spread by its first column.
-    Tables of many files or row groups are read as they are.
-    """
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _FOOTERS:
-        schema = spark.read.parquet(path).schema
-        single = os.path.isfile(path) and ParquetFile(path).num_row_groups == 1
-        _FOOTERS[path] = schema, single and os.path.getsize(path) > SPREAD_BYTES
-    schema, spread = _FOOTERS[path]
-    df = spark.read.schema(schema).parquet(path)
-    return df.repartition(spark.sparkContext.defaultParallelism, schema.names[0]) if spread else df
+    """A driver table as it is."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -32,14 +32,6 @@ def any_flag(cond: Column) -> Column:
     return F.coalesce(F.max(cond.cast("int")), F.lit(0))
 
 
-def max_where(cond: Column, value: Column) -> Column:
-    return F.max(F.when(cond, value))
-
-
-def min_where(cond: Column, value: Column) -> Column:
-    return F.min(F.when(cond, value))
-
-
 def sum_or_zero(value: Column) -> Column:
     """Sum that is 0, not NULL, when every value is missing."""
     return F.coalesce(F.sum(value), F.lit(0))

@@ -18,9 +18,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.semantics import drop_nan
+
 CELLS = 128  # grid of the sketch; a bracket spans three cells
 ACCURACY = 16 * CELLS  # sketch error of at most 1/16 cell
-SMALL = 64 * CELLS  # up to this many rows the bracket is everything
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -72,8 +73,8 @@ def order_statistics(
 
     def bracket(target: Column) -> Column:
         cell = F.floor(target["rank"] / n * CELLS).cast("int")
-        low = F.when((n > SMALL) & (cell >= 2), widen(F.get("__grid", cell - 2), -1))
-        high = F.when((n > SMALL) & (cell <= CELLS - 3), widen(F.get("__grid", cell + 1), 1))
+        low = F.when(cell >= 2, widen(F.get("__grid", cell - 2), -1))
+        high = F.when(cell <= CELLS - 3, widen(F.get("__grid", cell + 1), 1))
         return F.struct(
             target.alias("t"),
             F.coalesce(low, "__min").alias("low"),
@@ -102,8 +103,8 @@ def order_statistics(
 
 
 def long_numbers(df: DataFrame, variables: list[str], by: list[str], label: str) -> DataFrame:
-    """(by, variable, value) rows of several numeric columns, missing values included."""
-    numbers = df.select(*by, *[F.col(v).cast("double").alias(v) for v in variables])
+    """(by, variable, value) rows of several numeric columns, missing values included; NaN is missing."""
+    numbers = df.select(*by, *[drop_nan(F.col(v).cast("double")).alias(v) for v in variables])
     return numbers.unpivot(by, variables, label, "value")
 
 
@@ -161,7 +162,7 @@ def ntile_borders(df: DataFrame, sources: list[str], tiebreak: str, n: int = 4)
     At most ``n - 1`` rows per column reach the driver.
     """
     rows = df.select(
-        _tie_key(df, tiebreak).alias("__key"), *[F.col(s).cast("double").alias(s) for s in sources]
+        _tie_key(df, tiebreak).alias("__key"), *[drop_nan(F.col(s).cast("double")).alias(s) for s in sources]
     ).unpivot(["__key"], sources, "source", "value")
 
     def starts(count: Column) -> Column:
@@ -199,7 +200,7 @@ def add_ntiles(df: DataFrame, tiles: dict[str, str], tiebreak: str, n: int = 4)
     tie = _tie_key(df, tiebreak)
 
     def tile(source: str) -> Column:
-        value = F.col(source).cast("double")
+        value = drop_nan(F.col(source).cast("double"))
         out = F.lit(1)
         for edge, key in borders[source]:
             at_edge = (value == edge) if key is None else (value == edge) & (tie >= key)

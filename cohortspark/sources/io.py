@@ -61,15 +61,18 @@ def ensure_columns(df: DataFrame, defaults: Mapping[str, Column]) -> DataFrame:
 
 
 def read_csv_required(
-    spark: SparkSession, path: str, schema: StructType | str | None = None, multi_line: bool = False
+    spark: SparkSession, path: str, schema: StructType | str | None = None, multi_line: bool = True
 ) -> DataFrame:
     """CSV with a header; fails when the file is missing.
 
+    A quote inside a quoted text is doubled, a backslash is an ordinary sign, and
+    an empty text is missing.
     Without a schema every column is read as text (no inference pass, leading
-    zeros stay). ``multi_line`` is for quoted line breaks; such files cannot be
-    split, so convert large ones to Parquet once.
+    zeros stay). A file with quoted line breaks, as notes have them, cannot be
+    split: convert large ones to Parquet once, or say ``multi_line=False`` for
+    files known to have none.
     """
-    reader = spark.read.option("header", True).option("multiLine", multi_line)
+    reader = spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"')
     if schema is not None:
         reader = reader.schema(schema).option("enforceSchema", True)
     return reader.csv(path)
@@ -109,7 +112,10 @@ def load_study_tables(
 def write_table(df: DataFrame, path: str, file_type: str = "parquet", mode: str = "overwrite") -> str:
     writer = df.write.mode(mode)
     if file_type == "csv":
-        writer.option("header", True).csv(path)
+        # Quotes are doubled, blanks at the ends stay.
+        writer.options(
+            header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        ).csv(path)
     elif file_type == "parquet":
         writer.option("compression", "snappy").parquet(path)
     else:

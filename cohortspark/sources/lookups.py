@@ -177,6 +177,9 @@ def limits_table(spark: SparkSession, limits: list[tuple], key: str) -> DataFram
     return spark.createDataFrame(rows, f"{key} string, lower_limit double, upper_limit double")
 
 
+MAX_CONCEPTS = 10_000
+
+
 def threshold_lookup(spark: SparkSession, path: str, key: str, strict: bool = True) -> DataFrame:
     """Limits from a CSV by column position: byte-order mark, spaces and stray text are tolerated."""
     raw = read_csv_required(spark, path, "name string, low string, high string")
@@ -197,9 +200,12 @@ def require_unique(lookup: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def read_concepts(spark: SparkSession, path: str) -> list[tuple[str, str, str, str]]:
-    """Concept dictionary from a CSV; the reader turns doubled backslashes into single ones."""
+    """Concept dictionary from a CSV, whose doubled backslashes mean single ones."""
     schema = "note_domain string, concept_group string, concept_name string, pattern string"
-    return [tuple(row) for row in read_csv_required(spark, path, schema).collect()]
+    rows = read_csv_required(spark, path, schema).limit(MAX_CONCEPTS + 1).collect()
+    if len(rows) > MAX_CONCEPTS:
+        raise ValueError(f"{path} has more than {MAX_CONCEPTS} rows; is it a concept dictionary?")
+    return [(*row[:3], row[3] and row[3].replace("\\\\", "\\")) for row in rows]
 
 
 def concept_patterns(concepts: Iterable[tuple[str, str, str, str]], domain: str) -> dict[str, str]:

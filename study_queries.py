@@ -130,8 +130,8 @@ def note_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     )
 
 
-def scored_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return note_review.all_notes(*note_sources(spark, sf_dir), concepts=CONCEPTS)
+def scored_notes(spark: SparkSession, sf_dir: str, concepts: list[tuple] = CONCEPTS) -> DataFrame:
+    return note_review.all_notes(*note_sources(spark, sf_dir), concepts=concepts)
 
 
 def lab_limits(spark: SparkSession) -> DataFrame:
@@ -203,6 +203,28 @@ def _(spark, sf):
     return io.read_csv_required(spark, path, df.schema)
 
 
+@register("notes_csv_round_trip", "select * from notes")
+def _(spark, sf):
+    """Every note, with its quotes and line breaks, written as CSV and read again."""
+    notes = spark_view(spark, sf, "notes")
+    path = f"{io.shared_dir(spark)}/cohortspark/notes-{spark.sparkContext.applicationId}-{sf.replace('/', '_')}"
+    io.write_table(notes, path, "csv")
+    return io.read_csv_required(spark, path, notes.schema)
+
+
+@register(
+    "threshold_lookup",
+    "select lab_category, lower_limit, upper_limit, count(*) as n from labs left join "
+    f"({o.limits(lookups.LAB_LIMITS)}) t on lab_category = name group by all",
+)
+def _(spark, sf):
+    """Limits from a file, joined to the labs."""
+    path = f"{io.shared_dir(spark)}/cohortspark/limits-{spark.sparkContext.applicationId}-{sf.replace('/', '_')}"
+    io.write_table(lab_limits(spark).selectExpr("concat(' ', lab_category) as name", "lower_limit", "upper_limit"), path, "csv")
+    limits = lookups.threshold_lookup(spark, path, "lab_category")
+    return counted(spark_view(spark, sf, "labs").select("lab_category").join(limits, "lab_category", "left"))
+
+
 @register(
     "write_read_parquet",
     "select location_category, count(*) as n, min(in_dttm) as first_in, max(out_dttm) as last_out from adt group by 1",
@@ -1282,6 +1304,21 @@ def _(spark, sf):
     )
 
 
+@register(
+    "concept_dictionary",
+    "select NOTE_ID, note_source, " + ", ".join(f"any_{g}" for g in lookups.concept_groups(CONCEPTS)) + " from nl",
+)
+def _(spark, sf):
+    """Concepts from a file with doubled backslashes, applied to the notes."""
+    path = f"{io.shared_dir(spark)}/cohortspark/concepts-{spark.sparkContext.applicationId}-{sf.replace('/', '_')}"
+    rows = [(i, *c[:3], c[3].replace("\\", "\\\\")) for i, c in enumerate(CONCEPTS)]
+    columns = ["note_domain", "concept_group", "concept_name", "pattern"]
+    frame = spark.createDataFrame(rows, "i int, " + ", ".join(f"{c} string" for c in columns))
+    io.write_table(frame.coalesce(1).sortWithinPartitions("i").drop("i"), path, "csv")
+    read = lookups.read_concepts(spark, path)
+    return scored_notes(spark, sf, read).select("NOTE_ID", "note_source", *[f"any_{g}" for g in lookups.concept_groups(read)])
+
+
 _LEVEL_COLUMNS = ["MRN", "HAR", "NOTE_ID", "note_source", "note_datetime", "candidate_ici_exposure_note",
                   "candidate_irae_note", "rule_score", "llm_priority_note"]
 

@@ -84,3 +84,10 @@ def test_binary_mode_and_small_cells(spark):
     assert summaries.mode_value(ties, "v").first().mode_value == "x"
     cells = summaries.suppress_small_cells(spark.createDataFrame([(9, 1), (10, 2)], "n int, d int"), "n", ["d"])
     assert sorted(cells.collect(), key=str) == sorted([(None, None), (10, 2)], key=str)
+
+
+def test_nan_is_missing(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 3.0), (4, float("nan")), (5, None)], "id int, x double")
+    row = summaries.continuous_table(df, ["x"]).first()
+    assert (row.n_nonmissing, row["mean"], row["min"], row["max"], row.median, row.p75) == (3, 2.0, 1.0, 3.0, 2.0, 2.5)
+    assert {r.id: r.q for r in quantiles.add_ntiles(df, {"q": "x"}, "id", 3).collect()} == {1: 1, 2: 2, 3: 3, 4: None, 5: None}

@@ -1,3 +1,5 @@
+import csv
+
 import pytest
 
 from cohortspark.operators import outliers
@@ -28,6 +30,20 @@ def test_concept_csv_backslashes(spark, tmp_path):
     assert lookups.concept_patterns(concepts, "radiology") == {"g": r"\bword\b|cycle\s*\d+|other"}
 
 
+def test_quoted_notes(spark, tmp_path):
+    """Doubled quotes, commas, line breaks and backslashes, as other programs write and read them."""
+    path = tmp_path / "notes.csv"
+    path.write_text('MRN,HAR,NOTE_TEXT,PROC_NAME\nM1,H1,"pt said ""no, never"" today, ok",CT\nM2,H2,"two\nlines \\n",XR\n')
+    rows = [tuple(r) for r in io.read_any(spark, str(path), "csv").collect()]
+    assert rows == [("M1", "H1", 'pt said "no, never" today, ok', "CT"), ("M2", "H2", "two\nlines \\n", "XR")]
+    texts = ['a "quoted, text" b', "line\nbreak\r\nhere", " blanks ", "back\\slash\\", '"', "", None, 'end"', "é,;|"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    folder = io.write_table(df, str(tmp_path / "out.csv"), "csv")
+    assert [r.t for r in sorted(io.read_csv_required(spark, folder, df.schema).collect())] == [t or None for t in texts]
+    with open(next((tmp_path / "out.csv").glob("part-*")), newline="", encoding="utf-8") as handle:
+        assert [row[1] for row in list(csv.reader(handle))[1:]] == [t or "" for t in texts]
+
+
 def test_optional_and_required(spark, tmp_path):
     assert io.read_optional(spark, str(tmp_path / "none.parquet")) is None
     df = spark.createDataFrame([(1, "007")], "a int, b string")
