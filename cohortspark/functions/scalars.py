@@ -73,51 +73,84 @@ def upper_code(col: Column) -> Column:
     return F.upper(col.cast("string"))
 
 
+_OFFSET = r"\s*(Z|UTC|[+-]\d{2}:?\d{2})?\s*$"
+
+
+def _in_utc(clock: Column, offset: Column) -> Column:
+    """A wall clock with an offset like ``-06:00`` as UTC; ``Z``, ``UTC`` and nothing mean UTC."""
+    minutes = F.coalesce(F.regexp_extract(offset, r"(\d{2}):?(\d{2})$", 1).try_cast("int"), F.lit(0)) * 60 + F.coalesce(
+        F.regexp_extract(offset, r"(\d{2}):?(\d{2})$", 2).try_cast("int"), F.lit(0)
+    )
+    east = F.when(F.startswith(offset, F.lit("-")), -minutes).otherwise(minutes)
+    return clock - F.make_dt_interval(F.lit(0), F.lit(0), east)
+
+
 def parse_ymd_hms(col: Column) -> Column:
-    """Year-month-day hour:minute:second text to timestamp_ntz, anything else NULL."""
-    shape = r"^\s*(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})[T ]+(\d{1,2}):(\d{1,2}):(\d{1,2}(?:\.\d+)?)\s*(?:Z|UTC)?\s*$"
+    """Year-month-day hour:minute:second text, with or without an offset, to timestamp_ntz in UTC, anything else NULL."""
+    shape = r"^\s*(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})[T ]+(\d{1,2}):(\d{1,2}):(\d{1,2}(?:\.\d+)?)" + _OFFSET
     iso = F.regexp_replace(col, shape, "$1-$2-$3 $4:$5:$6")
-    return F.when(col.rlike(shape), iso.try_cast("timestamp_ntz"))
+    return F.when(col.rlike(shape), _in_utc(iso.try_cast("timestamp_ntz"), F.regexp_extract(col, shape, 7)))
 
 
 def parse_dt(df: DataFrame, name: str) -> Column:
-    """Timestamps pass through, text is parsed, unparseable text is NULL."""
-    if isinstance(df.schema[name].dataType, T.StringType):
+    """One UTC clock: wall-clock timestamps pass through, instants are given in UTC whatever the session's
+    zone, text is parsed, unparseable text is NULL."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.StringType):
         return parse_ymd_hms(F.col(name))
+    if isinstance(kind, T.TimestampType):
+        return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(name).cast("timestamp_ntz"))
     return F.col(name)
 
 
 def parse_flexible_datetime(col: Column, zone: str = "America/Chicago") -> Column:
     """Year-first or month-first date with optional time, read as wall clock in ``zone``, given in UTC.
 
-    Two-digit years are accepted month-first (69-99 are 19xx). A wall clock
+    Dates may be separated by ``- / .``, name their month (``Jan 5, 2024``, ``5 January 2024``) or have no
+    separators (``20240105``, ``20240105 0830``). Two-digit years (69-99 are 19xx) are accepted month-first, and
+    year-first where the first number is no month. A time with an offset or ``Z`` needs no zone. A wall clock
     skipped by daylight saving moves forward one hour.
     """
-    clock = r"(?:[T ]+(\d{1,2}):(\d{1,2})(?::(\d{1,2}(?:\.\d+)?))?)?\s*$"
-    year_first = r"^\s*(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + clock
-    month_first = r"^\s*(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})" + clock
+    clock = r"(?:[T ,]+(\d{1,2}):(\d{1,2})(?::(\d{1,2}(?:\.\d+)?))?)?" + _OFFSET
+    shapes = {
+        "year_first": r"^\s*(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + clock,
+        "month_first": r"^\s*(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})" + clock,
+        "short_year_first": r"^\s*(\d{2})[-/.](\d{1,2})[-/.](\d{1,2})" + clock,
+        "month_name": r"(?i)^\s*(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})" + clock,
+        "day_name": r"(?i)^\s*(\d{1,2})(?:st|nd|rd|th)?[\s-]+(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?,?[\s-]+(\d{4})" + clock,
+        "undelimited": r"^\s*(\d{4})(\d{2})(\d{2})(?:[T ]*(\d{2}):?(\d{2})(?::?(\d{2}(?:\.\d+)?))?)?" + _OFFSET,
+    }
 
     def part(shape: str, group: int) -> Column:
-        return F.regexp_extract(col, shape, group)
+        return F.regexp_extract(col, shapes[shape], group)
+
+    def century(short: Column) -> Column:
+        return F.concat(F.when(F.length(short) == 4, "").when(short >= "69", "19").otherwise("20"), short)
 
-    def stamp(shape: str, year: Column, month: int, day: int) -> Column:
+    def month(name: Column) -> Column:
+        place = F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(name))
+        return ((place + 2) / 3).cast("int").cast("string")
+
+    def stamp(shape: str, year: Column, month: Column, day: Column) -> Column:
         def or_zero(group: int) -> Column:
             found = part(shape, group)
             return F.when(found == "", "0").otherwise(found)
 
         text = F.concat(
-            year, F.lit("-"), part(shape, month), F.lit("-"), part(shape, day), F.lit(" "),
-            or_zero(4), F.lit(":"), or_zero(5), F.lit(":"), or_zero(6),
+            year, F.lit("-"), month, F.lit("-"), day, F.lit(" "), or_zero(4), F.lit(":"), or_zero(5), F.lit(":"), or_zero(6),
         )
-        return F.when(col.rlike(shape), text.try_cast("timestamp_ntz"))
-
-    short = part(month_first, 3)
-    century = F.when(F.length(short) == 4, "").when(short >= "69", "19").otherwise("20")
-    local = F.coalesce(
-        stamp(year_first, part(year_first, 1), 2, 3),
-        stamp(month_first, F.concat(century, short), 1, 2),
+        local, offset = text.try_cast("timestamp_ntz"), part(shape, 7)
+        utc = F.when(offset == "", F.convert_timezone(F.lit(zone), F.lit("UTC"), local)).otherwise(_in_utc(local, offset))
+        return F.when(col.rlike(shapes[shape]), utc)
+
+    return F.coalesce(
+        stamp("year_first", part("year_first", 1), part("year_first", 2), part("year_first", 3)),
+        stamp("month_first", century(part("month_first", 3)), part("month_first", 1), part("month_first", 2)),
+        stamp("short_year_first", century(part("short_year_first", 1)), part("short_year_first", 2), part("short_year_first", 3)),
+        stamp("month_name", part("month_name", 3), month(part("month_name", 1)), part("month_name", 2)),
+        stamp("day_name", part("day_name", 3), month(part("day_name", 2)), part("day_name", 1)),
+        stamp("undelimited", part("undelimited", 1), part("undelimited", 2), part("undelimited", 3)),
     )
-    return F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
 
 
 def pad_fips(col: Column) -> Column:

@@ -23,7 +23,7 @@ from ..sources.io import materialize
 INTERCEPT = "(Intercept)"
 STEPS = 40
 SEARCHES = 25
-TOLERANCE = 1e-9
+TOLERANCE = 1e-14
 CERTAIN = 1e-8  # a fitted probability this close to 0 or 1 shows separated data
 TIDY_SCHEMA = (
     "term string, estimate double, `std.error` double, statistic double, `p.value` double, "

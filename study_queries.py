@@ -301,6 +301,35 @@ def _(spark, sf):
     return counted(notes.select("NOTE_DTTM", sc.parse_flexible_datetime(F.col("NOTE_DTTM")).alias("note_utc")))
 
 
+_DAY = {part: f"lpad(cast({part}(o_orderdate) as string), 2, '0')" for part in ("month", "day")}
+_MONTH = "substr('JanFebMarAprMayJunJulAugSepOctNovDec', cast(3 * month(o_orderdate) - 2 as int), 3)"
+#: Each order's date written in one of these forms: (text, hours from midnight UTC).
+TIME_FORMS = [
+    (f"concat(cast(year(o_orderdate) as string), '-', {_DAY['month']}, '-', {_DAY['day']}, 'T08:30:00-06:00')", 14.5),
+    (f"concat(cast(year(o_orderdate) as string), '-', {_DAY['month']}, '-', {_DAY['day']}, ' 08:30:00Z')", 8.5),
+    (f"concat({_MONTH}, ' ', cast(day(o_orderdate) as string), ', ', cast(year(o_orderdate) as string))", 0),
+    (f"concat(cast(day(o_orderdate) as string), ' ', {_MONTH}, ' ', cast(year(o_orderdate) as string), ' 8:30')", 8.5),
+    (f"concat(cast(year(o_orderdate) as string), {_DAY['month']}, {_DAY['day']})", 0),
+    (f"concat(case when year(o_orderdate) between 1969 and 1999 then substr(cast(year(o_orderdate) as string), 3, 2) "
+     f"else cast(year(o_orderdate) as string) end, '-', {_DAY['month']}, '-', {_DAY['day']})", 0),
+]
+
+
+@register(
+    "parse_time_forms",
+    "select o_orderkey, date_trunc('day', o_orderdate) + interval '1' minute * cast(60 * case o_orderkey % 6 "
+    + " ".join(f"when {i} then {hours}" for i, (_, hours) in enumerate(TIME_FORMS))
+    + " end as int) as utc from orders",
+)
+def _(spark, sf):
+    """Offsets, month names, undelimited and two-digit years, by the parser of tables or that of notes."""
+    form = F.col("o_orderkey") % 6
+    text = F.coalesce(*[F.when(form == i, F.expr(sql)) for i, (sql, _) in enumerate(TIME_FORMS)])
+    orders = source(spark, sf, "orders").select("o_orderkey", text.alias("t"))
+    parsed = F.when(form < 2, sc.parse_ymd_hms(F.col("t"))).otherwise(sc.parse_flexible_datetime(F.col("t"), "UTC"))
+    return orders.select("o_orderkey", parsed.alias("utc"))
+
+
 @register("note_datetime", f"select NOTE_ID, {NOTE_TIME_SQL} as note_datetime from notes")
 def _(spark, sf):
     notes = spark_view(spark, sf, "notes")
@@ -1176,6 +1205,46 @@ def _(spark, sf):
     return exposure.pm25_yll_decomposition(quartiles)
 
 
+def newton_sql(outcome: str, x: str, table: str, center: int, steps: int = 12) -> str:
+    """A logistic model of one regressor, fitted in SQL by Newton steps on the counts of each value."""
+    p = "(1 / (1 + exp(-(a + b * x))))"
+    sums = (
+        f"sum(e - n * {p}) as g0, sum(x * (e - n * {p})) as g1, sum(n * {p} * (1 - {p})) as h00, "
+        f"sum(x * n * {p} * (1 - {p})) as h01, sum(x * x * n * {p} * (1 - {p})) as h11"
+    )
+    ctes = [
+        f"y as (select cast({x} - {center} as double) as x, cast(sum({outcome}) as double) as e, cast(count(*) as double) as n "
+        f"from {table} where {x} is not null and {outcome} is not null group by 1)",
+        "b0 as (select cast(0 as double) as a, cast(0 as double) as b)",
+    ]
+    for k in range(steps):
+        ctes.append(f"s{k} as (select a, b, {sums} from y, b{k} group by a, b)")
+        ctes.append(
+            f"b{k + 1} as (select a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) as a, "
+            f"b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) as b from s{k})"
+        )
+    ctes.append(f"s as (select a, b, {sums} from y, b{steps} group by a, b)")
+    ctes.append(
+        f"t as (select '(Intercept)' as term, a - b * {center} as beta, "
+        f"sqrt((h11 + 2 * {center} * h01 + {center}.0 * {center} * h00) / (h00 * h11 - h01 * h01)) as se from s "
+        f"union all select '{x}', b, sqrt(h00 / (h00 * h11 - h01 * h01)) from s)"
+    )
+    z = "1.959963984540054"
+    return (
+        f"with {', '.join(ctes)} select term, beta as estimate, se as std_error, beta - {z} * se as conf_low, beta + {z} * se as conf_high, "
+        "(select cast(sum(n) as bigint) from y) as model_n from t"
+    )
+
+
+@register("trend_model_wald", newton_sql("probable_checkpoint_irae_icu", "icu_year", "ana", 1996), ["estimate", "std_error", "conf_low", "conf_high"])
+def _(spark, sf):
+    """The calendar-year model on the log-odds scale, checked against Newton steps in SQL."""
+    data = outcome_models.model_data(analysis_table(spark, sf))
+    fit = models.fit_logistic(data, "probable_checkpoint_irae_icu", ["icu_year"])
+    rows = models.tidy(spark, [(fit, "probable_checkpoint_irae_icu", "icu_year")], [False])
+    return _tidy_plain(rows).drop("outcome")
+
+
 @register(
     "pm25_baseline_yll_yearly",
     "select icu_year, count(*) as n_probable_cases, coalesce(sum(case when hospital_mortality = 1 then yll_if_death when "

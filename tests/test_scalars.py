@@ -80,3 +80,32 @@ def test_needed_literals():
     assert sc.needed_literals(r"a[bc]d") is None
     assert sc.needed_literals(r"x|\d+") is None
     assert sc.is_plain("pulmonary edema|flash-edema") and not sc.is_plain(r"ici\b")
+
+
+def test_times_with_offsets_names_and_no_separators(spark):
+    from pyspark.sql import functions as F
+
+    rows = [
+        ("2024-01-05T08:30:00-06:00", "2024-01-05 14:30:00", "2024-01-05 14:30:00"), ("2024-01-05 08:30:00+0530", "2024-01-05 03:00:00", "2024-01-05 03:00:00"),
+        ("2024-01-05T08:30:00Z", "2024-01-05 08:30:00", "2024-01-05 08:30:00"), ("2024-01-05 08:30:00", "2024-01-05 08:30:00", "2024-01-05 14:30:00"),
+        ("Jan 5, 2024", None, "2024-01-05 06:00:00"), ("january 5th 2024 8:30", None, "2024-01-05 14:30:00"), ("5-JUL-2024", None, "2024-07-05 05:00:00"),
+        ("20240105", None, "2024-01-05 06:00:00"), ("20240105 0830", None, "2024-01-05 14:30:00"), ("20240105T083015", None, "2024-01-05 14:30:15"),
+        ("24-01-05", None, "2024-01-05 06:00:00"), ("01/05/24", None, "2024-01-05 06:00:00"), ("20241305", None, None), ("soon", None, None), (None, None, None),
+    ]
+    df = spark.createDataFrame([(r[0],) for r in rows], "t string")
+    got = df.select(sc.parse_ymd_hms(F.col("t")).cast("string"), sc.parse_flexible_datetime(F.col("t")).cast("string")).collect()
+    assert [tuple(r) for r in got] == [r[1:] for r in rows]
+
+
+def test_instants_are_given_in_utc_whatever_the_session_zone(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.sql("select timestamp '2024-01-05 08:30:00 America/Chicago' as t, timestamp_ntz '2024-01-05 08:30:00' as n")
+    stored = df.withColumn("t", F.col("t"))
+    for zone in ("UTC", "America/Chicago", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            row = stored.select(sc.parse_dt(stored, "t").cast("string").alias("t"), sc.parse_dt(stored, "n").cast("string").alias("n")).first()
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        assert (row.t, row.n) == ("2024-01-05 14:30:00", "2024-01-05 08:30:00")
