@@ -5,8 +5,9 @@ One key may hold a large part of all events. Events are therefore spread over
 per part. Windowed events are first reduced to one row per key, part and
 distinct raw text, with the extremes of the number beside it, so text is
 cleaned and matched once per distinct text of a key, not once per event.
-``sized_anchors`` counts the anchors first: up to a million are broadcast in one
-part each, and the reduction then starts map-side, before any event is moved.
+Events of other keys are dropped first by a semi-join. Pass stored anchors: the
+planner then knows their size in bytes and broadcasts them, or shuffles both
+sides, by that alone; the plan's steps are the same at every size.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from pyspark.sql import functions as F
 from .anchors import KEY
 
 SALTS = 8
-BROADCAST_ROWS = 1_000_000  # anchors are a key and a time, so at most some hundred megabytes
 HIGH, LOW = "__high", "__low"
 _SALT = "__part"
 
@@ -56,16 +56,6 @@ def window_bounds(anchor: Column, before_hours: int, after_hours: int) -> tuple[
     return anchor - F.expr(f"INTERVAL '{before_hours}' HOUR"), anchor + F.expr(f"INTERVAL '{after_hours}' HOUR")
 
 
-def sized_anchors(anchors: DataFrame) -> tuple[DataFrame, int]:
-    """The anchors and the number of parts to spread each key's events over.
-
-    Pass a stored frame: it is counted here and read again by each join.
-    """
-    if anchors.count() <= BROADCAST_ROWS:
-        return F.broadcast(anchors), 1
-    return anchors, SALTS
-
-
 def anchored_rows(
     events: DataFrame,
     anchors: DataFrame,
@@ -82,16 +72,12 @@ def anchored_rows(
     right = anchors.filter(F.col(anchor).isNotNull()).select(
         key, anchor, first.alias("__first"), last.alias("__last")
     )
-    if salts == 1:
-        # The semi-join moves below whatever computes the events' columns (text parsing,
-        # views), so that only the cohort's events are computed at all.
-        mine = events.join(anchors.select(key), key, "left_semi")
-        joined = mine.join(right, key).withColumn(_SALT, F.lit(0))
-    else:
-        left = events.filter(F.col(time).isNotNull() & F.col(key).isNotNull())
-        spread = F.pmod(F.xxhash64(F.col(time), F.spark_partition_id()), F.lit(salts)).cast("int")
-        parts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-        joined = left.select("*", spread.alias(_SALT)).join(right.select("*", parts.alias(_SALT)), [key, _SALT])
+    # The semi-join moves below whatever computes the events' columns (text parsing, views), so that only the
+    # cohort's events are computed at all.
+    mine = events.join(anchors.select(key), key, "left_semi").filter(F.col(time).isNotNull())
+    spread = F.pmod(F.xxhash64(F.col(time)), F.lit(salts)).cast("int")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    joined = mine.select("*", spread.alias(_SALT)).join(right.select("*", parts.alias(_SALT)), [key, _SALT])
     return joined.filter(F.col(time).between(F.col("__first"), F.col("__last"))).drop("__first", "__last")
 
 

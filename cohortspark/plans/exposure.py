@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import pad_fips, rate_with_ci, remaining_life_expectancy
@@ -196,16 +195,12 @@ def pm25_yll_quartiles(probable: DataFrame) -> DataFrame:
         )
     )
     per_case = ratio(F.col("total_yll_observed"), F.col("n_probable_cases"))
-    # Four rows in all.
-    everyone = W.partitionBy(F.lit(0))
+    baseline = per_q.agg(F.max(F.when(F.col("pm25_q") == Q1, per_case)).alias("baseline")).scalar()
     n, base, excess = F.col("n_probable_cases"), F.col("baseline_yll_per_case_q1"), F.col("excess_total_yll_vs_q1")
     return (
         per_q.withColumn("mean_yll_per_case", per_case)
         .withColumn("mean_yll_per_death", ratio(F.col("total_yll_observed"), F.col("n_deaths")))
-        .withColumn(
-            "baseline_yll_per_case_q1",
-            F.max(F.when(F.col("pm25_q") == Q1, F.col("mean_yll_per_case"))).over(everyone),
-        )
+        .withColumn("baseline_yll_per_case_q1", baseline)
         .withColumn("baseline_total_yll_q1_rate", base * n)
         .withColumn("excess_yll_per_case_vs_q1", F.col("mean_yll_per_case") - base)
         .withColumn("excess_total_yll_vs_q1", clip_low(F.col("excess_yll_per_case_vs_q1") * n, 0.0))
@@ -295,10 +290,9 @@ def yearly_burden(linked: DataFrame) -> DataFrame:
 
 def trend_lines(yearly: DataFrame) -> DataFrame:
     """Case rate and admissions, the latter scaled to the former's maximum."""
-    # One row per calendar year.
-    everyone = W.partitionBy(F.lit(0))
-    top_rate = F.max("rate").over(everyone)
-    scale = F.when(top_rate > 0, F.max("n").over(everyone) / top_rate).otherwise(F.lit(1.0))
+    top_rate = yearly.agg(F.max("rate").alias("top")).scalar()
+    top_n = yearly.agg(F.max("n").alias("top")).scalar()
+    scale = F.when(top_rate > 0, top_n / top_rate).otherwise(F.lit(1.0))
     scaled = yearly.select("icu_year", "rate", (F.col("n") / scale).alias("volume"))
     return scaled.select(
         "icu_year",

@@ -13,6 +13,7 @@ from ..functions.scalars import (
     extract_snippet,
     is_plain,
     may_match,
+    mentions,
     normalize_text,
     parse_flexible_datetime,
     search_text,
@@ -82,8 +83,8 @@ QUEUE_COLUMNS = [
 def radiology_filter(notes: DataFrame) -> DataFrame:
     """Chest procedures, or texts that speak of the chest."""
     return notes.filter(
-        normalize_text(F.col("PROC_NAME")).rlike(CHEST_PROCEDURE)
-        | normalize_text(F.col("NOTE_TEXT")).rlike(CHEST_TEXT)
+        mentions(normalize_text(F.col("PROC_NAME")), CHEST_PROCEDURE)
+        | mentions(normalize_text(F.col("NOTE_TEXT")), CHEST_TEXT)
     )
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 import re
 
 from clinical_views import VIEWS, duckdb_view
-from cohortspark.operators.anchors import CANCER_ICD9, CANCER_ICD10, SUPPORTIVE_DX
-from cohortspark.plans.phenotype import LAB_ANALYTES, RESCUE_DRUGS, STEROIDS, VASOPRESSORS, VITAL_SIGNS
-from cohortspark.sources.lookups import LAB_LIMITS, VITAL_LIMITS
+from oracle_constants import (
+    CANCER_ICD9, CANCER_ICD10, LAB_ANALYTES, LAB_LIMITS, RESCUE_DRUGS, STEROIDS, SUPPORTIVE_DX, VASOPRESSORS, VITAL_LIMITS, VITAL_SIGNS,
+)
 
 
 def clean(x: str) -> str:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import oracles as o
-from clinical_views import source, spark_view, study_tables
+from clinical_views import STUDY, source, spark_view, study_tables
 from cohortspark.functions import scalars as sc
 from cohortspark.operators import anchors, models, outliers, quantiles, summaries, trajectories, windows
 from cohortspark.plans import analysis, burden, exposure, inpatient, note_review, outcome_models, phenotype
@@ -215,7 +216,7 @@ def _(spark, sf):
 @register(
     "threshold_lookup",
     "select lab_category, lower_limit, upper_limit, count(*) as n from labs left join "
-    f"({o.limits(lookups.LAB_LIMITS)}) t on lab_category = name group by all",
+    f"({o.limits(o.LAB_LIMITS)}) t on lab_category = name group by all",
 )
 def _(spark, sf):
     """Limits from a file, joined to the labs."""
@@ -239,21 +240,25 @@ def _(spark, sf):
     )
 
 
+_SAVED = [name for name in STUDY if name != "hospitalization"]
+
+
 @register(
     "save_cohort_tables",
-    "select 'adt' as table_name, count(*) as n from adt where hospitalization_id in (select hospitalization_id from broad) "
-    "union all select 'crrt_therapy', count(*) from crrt_therapy "
-    "where hospitalization_id in (select hospitalization_id from broad)",
+    " union all ".join(
+        f"select '{name}' as table_name, count(*) as n from {name} where hospitalization_id in (select hospitalization_id from broad)"
+        for name in _SAVED
+    ),
 )
 def _(spark, sf):
     ids = io.materialize(broad(spark, sf).select("hospitalization_id"))
-    kept = {n: inpatient.semi_filter(spark_view(spark, sf, n), ids) for n in ("adt", "crrt_therapy")}
+    kept = {n: inpatient.semi_filter(spark_view(spark, sf, n), ids) for n in _SAVED}
     folder = f"{io.shared_dir(spark)}/cohortspark/tables-{spark.sparkContext.applicationId}-{sf.replace('/', '_')}"
     parts = [
         spark.read.parquet(path).agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"))
         for name, path in io.save_cohort_tables(kept, folder).items()
     ]
-    return parts[0].union(parts[1])
+    return reduce(DataFrame.unionAll, parts)
 
 
 @register(
@@ -741,7 +746,7 @@ def _(spark, sf):
 @register(
     "threshold_join",
     "select lab_category, lower_limit, upper_limit, count(*) as n from labs left join "
-    f"({o.limits(lookups.LAB_LIMITS)}) t on lab_category = name group by all",
+    f"({o.limits(o.LAB_LIMITS)}) t on lab_category = name group by all",
 )
 def _(spark, sf):
     labs = spark_view(spark, sf, "labs").select("lab_category")
@@ -755,35 +760,48 @@ def _(spark, sf):
 
 # Phenotype ------------------------------------------------------------------
 
-STANDARD_SQL = f"""select 'labs' as t, count({o.num('lab_value')}) as n_num, count(distinct {o.clean('lab_category')}) as n_cat,
-  count(lab_result_dttm) as n_time from labs
-union all select 'vitals', count(try_cast(vital_value as double)), count(distinct {o.clean('vital_category')}), count(recorded_dttm) from vitals
-union all select 'respiratory_support', count(fio2_set), count(distinct {o.clean('device_category')}), count(recorded_dttm) from respiratory_support"""
+#: (table, column of the standardised table, the same in SQL)
+_STANDARD = [
+    ("adt", "in_dttm", "in_dttm"), ("adt", "out_dttm", "out_dttm"), ("adt", "location_category", o.clean("location_category")),
+    ("hospitalization", "admission_dttm", "admission_dttm"), ("hospitalization", "discharge_dttm", "discharge_dttm"),
+    ("hospital_diagnosis", "diagnosis_code_clean", "upper(diagnosis_code)"),
+    ("hospital_diagnosis", "diagnosis_code_format", "upper(diagnosis_code_format)"),
+    ("labs", "lab_result_dttm", "lab_result_dttm"), ("labs", "lab_collect_dttm", "lab_collect_dttm"),
+    ("labs", "lab_value_num", o.num("lab_value")), ("labs", "lab_category_clean", o.clean("lab_category")),
+    ("labs", "lab_name_clean", o.clean("lab_name")),
+    ("vitals", "recorded_dttm", "recorded_dttm"), ("vitals", "vital_category_clean", o.clean("vital_category")),
+    ("vitals", "vital_value_num", "try_cast(vital_value as double)"),
+    ("respiratory_support", "recorded_dttm", "recorded_dttm"),
+    ("respiratory_support", "device_category_clean", o.clean("device_category")), ("respiratory_support", "fio2_set_num", "fio2_set"),
+    ("crrt_therapy", "recorded_dttm", "recorded_dttm"),
+    *[(t, *c) for t in ("medication_admin_continuous", "medication_admin_intermittent") for c in (
+        ("admin_dttm", "admin_dttm"), ("med_name_clean", o.clean("med_name")), ("med_category_clean", o.clean("med_category")))],
+    ("medication_admin_intermittent", "mar_action_group_clean", o.clean("mar_action_group")),
+]
 
 
-@register("standardize_tables", STANDARD_SQL)
+@register(
+    "standardize_tables",
+    " union all ".join(
+        f"select '{t}' as t, '{c}' as c, count({e}) as n_known, count(distinct {e}) as n_distinct from {t}" for t, c, e in _STANDARD
+    ),
+)
 def _(spark, sf):
+    """Known and distinct values of every standardised column of all nine tables."""
     tables = phenotype.standardize_tables(study_tables(spark, sf))
-    spec = [
-        ("labs", "lab_value_num", "lab_category_clean", "lab_result_dttm"),
-        ("vitals", "vital_value_num", "vital_category_clean", "recorded_dttm"),
-        ("respiratory_support", "fio2_set_num", "device_category_clean", "recorded_dttm"),
-    ]
-    parts = [
-        tables[name].agg(
-            F.lit(name).alias("t"), F.count(num).alias("n_num"), F.count_distinct(cat).alias("n_cat"),
-            F.count(time).alias("n_time"),
-        )
-        for name, num, cat, time in spec
-    ]
-    return parts[0].union(parts[1]).union(parts[2])
+    parts = []
+    for name, table in tables.items():
+        columns = [c for t, c, _ in _STANDARD if t == name]
+        counts = table.agg(*[f(c).alias(f"{k}_{c}") for c in columns for k, f in (("n", F.count), ("d", F.count_distinct))])
+        rows = [F.struct(F.lit(name).alias("t"), F.lit(c).alias("c"), F.col(f"n_{c}").alias("n_known"), F.col(f"d_{c}").alias("n_distinct")) for c in columns]
+        parts.append(counts.select(F.inline(F.array(*rows))))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def _block(name: str, view: str, fn, sql: str, floats: list[str] | None = None):
     @register(name, sql, floats)
     def _(spark, sf):
-        rows, salts = windows.sized_anchors(io.materialize(anchor_frame(spark, sf)))
-        return fn(spark_view(spark, sf, view), rows, salts=salts)
+        return fn(spark_view(spark, sf, view), io.materialize(anchor_frame(spark, sf)))
 
 
 _block("resp_features", "respiratory_support", phenotype.resp_features, "select * from resp", ["max_fio2"])
@@ -804,8 +822,8 @@ _block("vital_features", "vitals", phenotype.vital_features, "select * from vita
     ["ferritin_max", "troponin_max", "creat_max"],
 )
 def _(spark, sf):
-    rows, salts = windows.sized_anchors(io.materialize(anchor_frame(spark, sf)))
-    labs = phenotype.lab_flags(phenotype.lab_features(spark_view(spark, sf, "labs"), rows, salts=salts))
+    rows = io.materialize(anchor_frame(spark, sf))
+    labs = phenotype.lab_flags(phenotype.lab_features(spark_view(spark, sf, "labs"), rows))
     return labs.select(
         "hospitalization_id", "ferritin_max", "troponin_max", "creat_max", "inflam_marker_positive",
         "myocarditis_lab_positive", "renal_lab_positive",
@@ -1608,8 +1626,8 @@ def _(spark, sf):
 
 o.CTES.update(
     {
-        "lab_lim": o.limits(lookups.LAB_LIMITS),
-        "vital_lim": o.limits(lookups.VITAL_LIMITS),
+        "lab_lim": o.limits(o.LAB_LIMITS),
+        "vital_lim": o.limits(o.VITAL_LIMITS),
         "lab_num": f"select hospitalization_id, lab_category, {o.num('lab_value')} as v from labs",
         "lab_cleaned": "select hospitalization_id, lab_category, case when v between lower_limit and upper_limit then v end as "
         "lab_value_numeric from lab_num left join lab_lim on lab_category = name",

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.operators import windows
 from cohortspark.plans import phenotype
+from cohortspark.sources import io
 
 T0 = dt.datetime(2024, 1, 10)
 HOUR = dt.timedelta(hours=1)
@@ -55,10 +56,21 @@ def test_features_do_not_depend_on_parts_or_partitions(spark):
     assert results == {tuple(want)}
 
 
-def test_sized_anchors(spark, monkeypatch):
-    assert windows.sized_anchors(anchors(spark))[1] == 1
-    monkeypatch.setattr(windows, "BROADCAST_ROWS", 2)
-    assert windows.sized_anchors(anchors(spark))[1] == windows.SALTS
+def test_one_plan_at_every_size(spark):
+    """With and without a broadcast the same steps run, and a hot key is spread over several tasks."""
+    events = spark.createDataFrame([(1, T0 + HOUR * (i % 24), "x", "y", str(i)) for i in range(4000)] + [(9, T0, "x", "y", "1")], "hospitalization_id bigint, t timestamp_ntz, a string, b string, c string")
+    stored, results = io.materialize(anchors(spark)), []
+    for limit in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            rows = windows.anchored_rows(events, stored, "t")
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            assert ("BroadcastHashJoin" in plan) == (limit == "10m") and "LeftSemi" in plan
+            results.append(sorted(map(tuple, rows.drop("__part").collect())))
+            assert rows.where("hospitalization_id = 1").select("__part").distinct().count() == windows.SALTS
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert results[0] == results[1] and len(results[0]) == 4000
 
 
 def test_absent_optional_tables_fall_back(spark):
