@@ -175,14 +175,19 @@ RESULT_ARROW = pa.schema([("row", pa.int64()), ("n_removed", pa.int64()), ("span
 def _removed(texts: DataFrame, window: int, anchor: int) -> DataFrame:
     tool = []
 
+    def values(part: pa.RecordBatch, column: str, i: int) -> np.ndarray:
+        own = part.column(part.schema.get_field_index(column))[i].values
+        return np.zeros(0, np.uint64) if own is None else own.to_numpy().view(np.uint64)
+
     def make(part: pa.RecordBatch, texts: list[bytes]) -> list:
         if not tool:
             tool.append(Windows(window, anchor))
         own, removed, spans, kept, sha = tool[0], [], [], [], []
-        for text, wanted in zip(texts, part.column(part.schema.get_field_index("repeated")).to_pylist(), strict=True):
+        for i, text in enumerate(texts):
             words = text.split()
             all_windows = own.first.runs(own.first.prefix(own.hashes(words)), window)
-            found = covered(np.nonzero(np.isin(all_windows, np.array(wanted, np.int64).view(np.uint64)))[0], window)
+            repeated = np.setdiff1d(values(part, "h1", i), values(part, "once", i))
+            found = covered(np.nonzero(np.isin(all_windows, repeated))[0], window)
             left, end = [], 0
             for a, b in found:
                 left += words[end:a]
@@ -217,11 +222,13 @@ def remove_repeats(
     twice = materialize(anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"))
     hits = anchors.select("row", "anchor").join(twice, "anchor").groupBy("row").agg(F.collect_list("anchor").alias("anchors"))
     hits = materialize(texts.select("row", "doc_id", "tk", "m").join(hits, "row"))
-    found = materialize(_candidates(rows.join(hits, ["doc_id", "tk"]).select("row", "text", "m", "anchors"), window, anchor).dropDuplicates(["row"]))
+    found = materialize(_candidates(rows.join(hits, ["doc_id", "tk"]).select("row", "text", "m", "anchors"), window, anchor))
     windows = found.select("row", F.explode(F.arrays_zip("h1", "h2", "n")).alias("w")).select("row", "w.h1", "w.h2", "w.n")
-    twice = materialize(windows.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2"))
-    marked = windows.select("row", "h1", "h2").join(twice, ["h1", "h2"]).groupBy("row").agg(F.collect_list("h1").alias("repeated"))
-    result = _removed(found.select("row", "text").join(marked, "row").select("row", "text", "repeated"), window, anchor)
+    # a window that occurs once names its text, so counting alone tells each text which candidates do not repeat
+    once = windows.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("row").alias("row")).where("n = 1")
+    once = once.groupBy("row").agg(F.collect_list("h1").alias("once"))
+    result = _removed(found.select("row", "text", "h1").join(once, "row", "left").select("row", "text", "h1", "once"), window, anchor)
+    result = result.where("n_removed > 0").dropDuplicates(["row"])  # of repeated rows, which have one text
     result = materialize(result.join(texts.select("row", "t1", "t2"), "row").drop("row"))
     return stats.select("doc_id", "t1", "t2", "n_words", "sha").join(result, ["t1", "t2"], "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), "spans", "kept", F.coalesce("kept_sha", "sha").alias("kept_sha")
