@@ -112,45 +112,27 @@ def parse_flexible_datetime(col: Column, zone: str = "America/Chicago") -> Colum
     skipped by daylight saving moves forward one hour.
     """
     clock = r"(?:[T ,]+(\d{1,2}):(\d{1,2})(?::(\d{1,2}(?:\.\d+)?))?)?" + _OFFSET
-    shapes = {
-        "year_first": r"^\s*(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + clock,
-        "month_first": r"^\s*(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})" + clock,
-        "short_year_first": r"^\s*(\d{2})[-/.](\d{1,2})[-/.](\d{1,2})" + clock,
-        "month_name": r"(?i)^\s*(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})" + clock,
-        "day_name": r"(?i)^\s*(\d{1,2})(?:st|nd|rd|th)?[\s-]+(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?,?[\s-]+(\d{4})" + clock,
-        "undelimited": r"^\s*(\d{4})(\d{2})(\d{2})(?:[T ]*(\d{2}):?(\d{2})(?::?(\d{2}(?:\.\d+)?))?)?" + _OFFSET,
-    }
-
-    def part(shape: str, group: int) -> Column:
-        return F.regexp_extract(col, shapes[shape], group)
-
-    def century(short: Column) -> Column:
-        return F.concat(F.when(F.length(short) == 4, "").when(short >= "69", "19").otherwise("20"), short)
-
-    def month(name: Column) -> Column:
-        place = F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(name))
-        return ((place + 2) / 3).cast("int").cast("string")
-
-    def stamp(shape: str, year: Column, month: Column, day: Column) -> Column:
-        def or_zero(group: int) -> Column:
-            found = part(shape, group)
-            return F.when(found == "", "0").otherwise(found)
-
-        text = F.concat(
-            year, F.lit("-"), month, F.lit("-"), day, F.lit(" "), or_zero(4), F.lit(":"), or_zero(5), F.lit(":"), or_zero(6),
-        )
-        local, offset = text.try_cast("timestamp_ntz"), part(shape, 7)
-        utc = F.when(offset == "", F.convert_timezone(F.lit(zone), F.lit("UTC"), local)).otherwise(_in_utc(local, offset))
-        return F.when(col.rlike(shapes[shape]), utc)
-
-    return F.coalesce(
-        stamp("year_first", part("year_first", 1), part("year_first", 2), part("year_first", 3)),
-        stamp("month_first", century(part("month_first", 3)), part("month_first", 1), part("month_first", 2)),
-        stamp("short_year_first", century(part("short_year_first", 1)), part("short_year_first", 2), part("short_year_first", 3)),
-        stamp("month_name", part("month_name", 3), month(part("month_name", 1)), part("month_name", 2)),
-        stamp("day_name", part("day_name", 3), month(part("day_name", 2)), part("day_name", 1)),
-        stamp("undelimited", part("undelimited", 1), part("undelimited", 2), part("undelimited", 3)),
-    )
+    month, day = r"(0?[1-9]|1[0-2])", r"(0?[1-9]|[12]\d|3[01])"
+    named = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
+    # Each shape with the places of year, month and day; one text of a fixed form comes out of all of them.
+    shapes = [
+        (rf"^\s*(\d{{4}})[-/.]{month}[-/.]{day}{clock}", "$1-$2-$3"),
+        (rf"^\s*{month}[-/.]{day}[-/.](\d{{4}}|\d{{2}}){clock}", "$3-$1-$2"),
+        (rf"^\s*(\d{{2}})[-/.]{month}[-/.]{day}{clock}", "$1-$2-$3"),
+        (rf"(?i)^\s*{named}\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}}){clock}", "$3-$1-$2"),
+        (rf"(?i)^\s*(\d{{1,2}})(?:st|nd|rd|th)?[\s-]+{named}\.?,?[\s-]+(\d{{4}}){clock}", "$3-$2-$1"),
+        (r"^\s*(\d{4})(\d{2})(\d{2})(?:[T ]*(\d{2}):?(\d{2})(?::?(\d{2}(?:\.\d+)?))?)?" + _OFFSET, "$1-$2-$3"),
+    ]
+    text = F.coalesce(*[F.when(col.rlike(shape), F.regexp_replace(col, shape, f"{date} $4:$5:$6|$7")) for shape, date in shapes])
+    for found, wanted in (
+        (" ::", " 0:0:0"), (r":\|", ":0|"), ("^([0-6][0-8]|[0-5]9)-", "20$1-"), (r"^(69|[7-9]\d)-", "19$1-"),
+    ):
+        text = F.regexp_replace(text, found, wanted)
+    name = F.lower(F.regexp_extract(text, "-([A-Za-z]{3})-", 1))
+    number = (F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), name) + 2) / 3
+    text = F.when(name == "", text).otherwise(F.concat(F.substring(text, 1, 5), number.cast("int").cast("string"), F.substring(text, F.lit(9), F.length(text))))
+    local, offset = F.split_part(text, F.lit("|"), F.lit(1)).try_cast("timestamp_ntz"), F.split_part(text, F.lit("|"), F.lit(2))
+    return F.when(offset == "", F.convert_timezone(F.lit(zone), F.lit("UTC"), local)).otherwise(_in_utc(local, offset))
 
 
 def pad_fips(col: Column) -> Column:
