@@ -128,11 +128,16 @@ def parse_flexible_datetime(col: Column, zone: str = "America/Chicago") -> Colum
         (" ::", " 0:0:0"), (r":\|", ":0|"), ("^([0-6][0-8]|[0-5]9)-", "20$1-"), (r"^(69|[7-9]\d)-", "19$1-"),
     ):
         text = F.regexp_replace(text, found, wanted)
-    name = F.lower(F.regexp_extract(text, "-([A-Za-z]{3})-", 1))
-    number = (F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), name) + 2) / 3
-    text = F.when(name == "", text).otherwise(F.concat(F.substring(text, 1, 5), number.cast("int").cast("string"), F.substring(text, F.lit(9), F.length(text))))
-    local, offset = F.split_part(text, F.lit("|"), F.lit(1)).try_cast("timestamp_ntz"), F.split_part(text, F.lit("|"), F.lit(2))
-    return F.when(offset == "", F.convert_timezone(F.lit(zone), F.lit("UTC"), local)).otherwise(_in_utc(local, offset))
+
+    def finish(text: Column) -> Column:
+        name = F.lower(F.regexp_extract(text, "-([A-Za-z]{3})-", 1))
+        number = ((F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), name) + 2) / 3).cast("int").cast("string")
+        whole = F.when(name == "", text).otherwise(F.concat(F.substring(text, 1, 5), number, F.substring(text, F.lit(9), F.length(text))))
+        local, offset = F.split_part(whole, F.lit("|"), F.lit(1)).try_cast("timestamp_ntz"), F.split_part(whole, F.lit("|"), F.lit(2))
+        return F.when(offset == "", F.convert_timezone(F.lit(zone), F.lit("UTC"), local)).otherwise(_in_utc(local, offset))
+
+    # The text is used many times but computed once.
+    return F.get(F.transform(F.array(text), finish), 0)
 
 
 def pad_fips(col: Column) -> Column:
