@@ -3,7 +3,9 @@
 Numbers, names and units become typed placeholders; windows of such template tokens are joined by hash between
 benchmark and documents. Where enough of an item is covered, its slots are compared: the item's values must map
 to the document's values one to one, so the same question with other numbers or names is found, and a text that
-only has the same frame with slots at odds is not.
+only has the same frame with slots at odds is not. Beside these there are windows of the exact lower-cased tokens,
+signs of calculation included and without a least number of literal words: what they cover counts as covered with
+the item's own values, so that items of numbers, names or a few words are found where they are copied.
 
 The benchmark's windows are counted first. Up to ``INDEX_ROWS`` of them go to every task as one sorted array;
 beyond that, windows of documents and benchmark meet in a shuffle. Both ways verify with the same code.
@@ -40,23 +42,29 @@ NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleve
 LITERAL, NUMBER, NAME, UNIT, NOTHING = range(5)
 _NUMBER = re.compile(r"[-+]?[$€£]?\d[\d.,:/]*%?")
 _EDGE = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
+_SIGN = re.compile(r"[-+*/=<>^%×÷±−√·]")
 _TYPE_HASH = np.array([xxhash.xxh64_intdigest(f"<{k}>") for k in range(5)], np.uint64)
 
 
 @dataclass
 class Tokens:
-    """Template tokens of a text: hash of the template, kind, hash of the value."""
+    """Template tokens of a text: hash of the template, kind, hash of the value.
+
+    ``exact`` are the hashes of the lower-cased words and signs, ``owner`` the template token of each; -1 for signs.
+    """
 
     template: np.ndarray
     kind: np.ndarray
     value: np.ndarray
+    exact: np.ndarray
+    owner: np.ndarray
 
 
 class Canon(dict):
     """Template tokens; what a run of non-blank signs is, without its place in a sentence, is remembered."""
 
     def __init__(self):
-        self.about = np.zeros(1 << 12, [("kind", np.int8), ("hash", np.uint64), ("capital", bool), ("ends", bool)])
+        self.about = np.zeros(1 << 12, [("kind", np.int8), ("hash", np.uint64), ("capital", bool), ("ends", bool), ("sign", bool)])
 
     def __missing__(self, run: bytes) -> int:
         text = run.decode()
@@ -79,7 +87,8 @@ class Canon(dict):
             self.about = np.concatenate([self.about, np.zeros_like(self.about)])
         capital = kind == LITERAL and bare[:1].isupper() and not (len(bare) > 1 and bare.isupper())
         ends = run == b"\x00" or text.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":", ";", "…")
-        self.about[at] = kind, xxhash.xxh64_intdigest(lower), capital, ends
+        sign = kind == NOTHING and _SIGN.search(text) is not None
+        self.about[at] = kind, xxhash.xxh64_intdigest(text if sign else lower), capital, ends, sign
         self[run] = at
         return at
 
@@ -95,6 +104,10 @@ class Canon(dict):
             named[1:] &= ~ends[:-1]  # a capital that opens a sentence says nothing
         kinds[named] = NAME
         keep = kinds != NOTHING
+        exact, word = hashes, keep
+        if not keep.all():
+            stays = keep | about["sign"]
+            exact, word = hashes[stays], keep[stays]
         kinds, hashes = kinds[keep], hashes[keep]
         follows = np.zeros(len(kinds), bool)
         follows[1:] = (kinds[1:] == NAME) & (kinds[:-1] == NAME)
@@ -103,7 +116,9 @@ class Canon(dict):
             hashes, kinds = np.add.reduceat(hashes * np.uint64(BASES[1]), starts), kinds[starts]
         else:
             hashes = hashes * np.uint64(BASES[1])
-        return Tokens(np.where(kinds == LITERAL, hashes, _TYPE_HASH[kinds]), kinds, hashes)
+        owner = np.full(len(word), -1, np.int64)
+        owner[word] = np.cumsum(~follows) - 1
+        return Tokens(np.where(kinds == LITERAL, hashes, _TYPE_HASH[kinds]), kinds, hashes, exact, owner)
 
 
 class Templates:
@@ -119,6 +134,10 @@ class Templates:
         starts = np.nonzero(literal[width:] - literal[: len(hashes)] >= LITERALS * width)[0] if len(hashes) else np.zeros(0, np.int64)
         return hashes[starts] + np.uint64(width), starts
 
+    def exact(self, tokens: Tokens, width: int) -> np.ndarray:
+        """Hashes of all windows of exact tokens."""
+        return self.rolling.runs(self.rolling.prefix(tokens.exact), width) + np.uint64(width)
+
 
 @dataclass
 class Match:
@@ -128,11 +147,12 @@ class Match:
     exact: bool
 
 
-def compare(doc: Tokens, item: Tokens, hits: list[tuple[int, int]], width: int) -> Match:
+def compare(doc: Tokens, item: Tokens, hits: list[tuple[int, int]], width: int, copied: frozenset[int] = frozenset()) -> Match:
     """How far windows (start in the document, start in the item) cover the item, and whether its slots agree.
 
     Hits are followed along diagonals; the strongest diagonal that covers an item's token gives the document's
-    value for it. A slot is consistent if its value maps to the usual partner of that value, and back.
+    value for it. A slot is consistent if its value maps to the usual partner of that value, and back. The item's
+    tokens in ``copied`` have their own values, whatever the windows say.
     """
     partner: dict[int, int] = {}
     by_diagonal: dict[int, set[int]] = {}
@@ -141,7 +161,8 @@ def compare(doc: Tokens, item: Tokens, hits: list[tuple[int, int]], width: int)
     for diagonal, covered in sorted(by_diagonal.items(), key=lambda x: (-len(x[1]), x[0])):
         for q in covered:
             partner.setdefault(q, q + diagonal)
-    pairs = [(int(item.value[q]), int(doc.value[p]), int(item.kind[q])) for q, p in sorted(partner.items()) if item.kind[q] != LITERAL]
+    pairs = [(int(item.value[q]), int(doc.value[p]), int(item.kind[q])) for q, p in sorted(partner.items()) if item.kind[q] != LITERAL and q not in copied]
+    pairs += [(int(item.value[q]), int(item.value[q]), int(item.kind[q])) for q in sorted(copied) if item.kind[q] != LITERAL]
     forth, back = {}, {}
     for a, b, kind in pairs:
         forth.setdefault((kind, a), Counter())[b] += 1
@@ -154,29 +175,55 @@ def contaminated(match: Match) -> bool:
     return match.coverage >= COVER and match.consistent >= CONSISTENT * match.slots
 
 
+def sized(tokens: Tokens, width: int) -> tuple[int, int]:
+    """Widths of an item's template windows and exact windows; 0 where it has fewer than ``LEAST`` tokens."""
+    n, words = len(tokens.template), int((tokens.owner >= 0).sum())
+    return min(width, n) if n >= LEAST else 0, min(width, len(tokens.exact)) if words >= LEAST else 0
+
+
+class Sorted:
+    """Windows by hash: the places (owner, start) of each."""
+
+    def __init__(self, found: list[tuple[int, np.ndarray, np.ndarray]]):
+        hashes = np.concatenate([h for _, h, _ in found] + [np.zeros(0, np.uint64)])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        self.owner = np.concatenate([np.full(len(h), k) for k, h, _ in found] + [np.zeros(0, np.int64)])[order]
+        self.starts = np.concatenate([q for _, _, q in found] + [np.zeros(0, np.int64)])[order]
+
+    def among(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes occur, and the first place of each."""
+        low = np.searchsorted(self.hashes, hashes)
+        found = np.nonzero((low < len(self.hashes)) & (self.hashes[np.minimum(low, len(self.hashes) - 1)] == hashes))[0] if len(self.hashes) else low[:0]
+        return found, low[found]
+
+    def places(self, low: int) -> Iterator[tuple[int, int]]:
+        k = low
+        while k < len(self.hashes) and self.hashes[k] == self.hashes[low]:
+            yield int(self.owner[k]), int(self.starts[k])
+            k += 1
+
+
 class Index:
     """The benchmark's items by the hashes of their windows."""
 
     def __init__(self, items: list[tuple[int, bytes]], width: int):
         self.width, self.items = width, {}
         tool = Templates(width)
-        hashes, owner, starts = [], [], []
+        template, exact = [], []
         for k, (item_id, text) in enumerate(items):
             tokens = tool.canon.tokens(text)
-            own = min(width, len(tokens.template))
-            if own < LEAST:
+            own, same = sized(tokens, width)
+            if not same:
                 continue
-            self.items[k] = item_id, tokens, own
-            h, s = tool.windows(tokens, own)
-            hashes.append(h)
-            starts.append(s)
-            owner.append(np.full(len(h), k))
-        empty = np.zeros(0, np.int64)
-        all_hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(all_hashes, kind="stable")
-        self.hashes = all_hashes[order]
-        self.owner, self.starts = (np.concatenate(x)[order] if x else empty for x in (owner, starts))
-        self.widths = sorted({own for _, _, own in self.items.values()})
+            self.items[k] = item_id, tokens, own, same
+            if own:
+                template.append((k, *tool.windows(tokens, own)))
+            hashes = tool.exact(tokens, same)
+            exact.append((k, hashes, np.arange(len(hashes))))
+        self.template, self.exact = Sorted(template), Sorted(exact)
+        self.widths = sorted({own for _, _, own, _ in self.items.values() if own})
+        self.exact_widths = sorted({same for _, _, _, same in self.items.values()})
 
     def search(self, tool: Templates, text: bytes) -> list[tuple[int, Match]]:
         """(item_id, match) of the items that a text holds."""
@@ -184,23 +231,55 @@ class Index:
         hits: dict[int, list[tuple[int, int]]] = {}
         for width in self.widths:
             hashes, places = tool.windows(doc, width)
-            low = np.searchsorted(self.hashes, hashes)
-            found = np.nonzero((low < len(self.hashes)) & (self.hashes[np.minimum(low, len(self.hashes) - 1)] == hashes))[0]
-            for i in found.tolist():
-                k = int(low[i])
-                while k < len(self.hashes) and self.hashes[k] == hashes[i]:
-                    if self.items[int(self.owner[k])][2] == width:
-                        hits.setdefault(int(self.owner[k]), []).append((int(places[i]), int(self.starts[k])))
-                    k += 1
+            found, low = self.template.among(hashes)
+            for i, at in zip(found.tolist(), low.tolist(), strict=True):
+                for k, q in self.template.places(at):
+                    if self.items[k][2] == width:
+                        hits.setdefault(k, []).append((int(places[i]), q))
+        copied: dict[int, set[int]] = {}
+        for width in self.exact_widths:
+            for at in np.unique(self.exact.among(tool.exact(doc, width))[1]).tolist():
+                for k, q in self.exact.places(at):
+                    if self.items[k][3] == width:
+                        copied.setdefault(k, set()).add(q)
         result = []
-        for k, own in hits.items():
-            item_id, item, width = self.items[k]
-            if len({q for _, q in own}) * width >= COVER * len(item.template):  # else it can't be covered
-                match = compare(doc, item, own, width)
-                if contaminated(match):
-                    result.append((item_id, match))
+        for k in hits.keys() | copied.keys():
+            match = self.judge(k, doc, hits.get(k, []), copied.get(k, set()))
+            if match is not None:
+                result.append((self.items[k][0], match))
         return sorted(result, key=lambda x: x[0])
 
+    def judge(self, k: int, doc: Tokens, hits: list[tuple[int, int]], copied: set[int]) -> Match | None:
+        """The item's match by its template windows, else by its exact windows, else by both together."""
+        _, item, width, same = self.items[k]
+        starts = {q for _, q in hits}
+        if len(starts) * width >= COVER * len(item.template) and hits:  # else it can't be covered
+            match = compare(doc, item, hits, width)
+            if contaminated(match):
+                return match
+        if not copied:
+            return None
+        word = item.owner >= 0
+        own = np.zeros(len(item.exact), bool)
+        for q in copied:
+            own[q : q + same] = True
+        whole = np.ones(len(item.template), bool)
+        whole[item.owner[word & ~own]] = False
+        values = frozenset(np.nonzero(whole)[0].tolist())
+        share = float((own & word).sum() / word.sum())
+        if share >= COVER:
+            slots = int((whole & (item.kind != LITERAL)).sum())
+            return Match(share, slots, slots, True)
+        both = np.zeros(len(item.template), bool)
+        for q in starts:
+            both[q : q + width] = True
+        share = float((word & (own | both[item.owner])).sum() / word.sum())
+        if share < COVER:
+            return None
+        match = compare(doc, item, hits, width, values)
+        match.coverage = share
+        return match if contaminated(match) else None
+
 
 FOUND = "doc_id long, tk long, item_id long, coverage double, slots long, consistent long, exact boolean"
 FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("tk", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("slots", pa.int64()), ("consistent", pa.int64()), ("exact", pa.bool_())])
@@ -221,8 +300,9 @@ def find(
     """(doc_id, tk, item_id, coverage, slots, consistent, exact) of the items that documents hold.
 
     ``tk`` is the text's 64-bit hash, ``coverage`` the share of the item's template tokens that common windows
-    cover (0.8 at least), ``exact`` whether all slots have the item's own values. Items shorter than a window
-    are one window; items of fewer than three tokens, null texts and rows without an id are never matched.
+    cover (0.8 at least), or of its words where template windows alone don't reach that and exact windows help;
+    ``exact`` whether all slots have the item's own values. Items shorter than a window are one window; items of
+    fewer than three words, null texts and rows without an id are never matched.
     Repeated rows are matched each for itself; empty tables give no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("tk"), F.col(text_col).cast("string").alias("text"))
@@ -250,28 +330,52 @@ def _search(rows: DataFrame, index: Index, width: int) -> DataFrame:
 def _shuffled(rows: DataFrame, items: DataFrame, width: int) -> DataFrame:
     """The same for a benchmark of any size: pairs that share a window are found by a join, then verified."""
 
-    def hashed(df: DataFrame, key: str, text: str, short: bool) -> DataFrame:
+    def hashed(df: DataFrame, text: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tool = Templates(width)
             for part, texts in sliced(batches, text):
                 found = []
                 for t in texts:
                     tokens = tool.canon.tokens(t)
-                    n = len(tokens.template)
-                    sizes = ([min(width, n)] if n >= LEAST else []) if short else range(LEAST, width + 1)
-                    found.append(np.unique(np.concatenate([tool.windows(tokens, w)[0] for w in sizes] or [np.zeros(0, np.uint64)])).view(np.int64))
+                    sizes = range(LEAST, width + 1)
+                    found.append(np.unique(np.concatenate([tool.windows(tokens, w)[0] for w in sizes] + [tool.exact(tokens, w) for w in sizes])).view(np.int64))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns - 1)), pa.array(found, pa.list_(pa.int64()))], names=[*part.schema.names[:-1], "h"])
 
         names = [c for c in df.columns if c != text]
         schema = ", ".join(f"{c} long" for c in names) + ", h array<long>"
         return df.select(*names, text).mapInArrow(run, schema).select(*names, F.explode("h").alias("h"))
 
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """An item's windows with the template tokens and the words that all windows of the hash can cover."""
+        tool = Templates(width)
+        for part, texts in sliced(batches, "item_text"):
+            rows = []
+            for item, t in zip(part.column(0).to_pylist(), texts, strict=True):
+                tokens = tool.canon.tokens(t)
+                own, same = sized(tokens, width)
+                if not same:
+                    continue
+                word = tokens.owner >= 0
+                within = np.r_[0, np.cumsum(np.bincount(tokens.owner[word], minlength=len(tokens.template)))]
+                before = np.r_[0, np.cumsum(word)]
+                weights: dict[int, list[int]] = {}
+                hashes, starts = tool.windows(tokens, own) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                for h, q in zip(hashes.view(np.int64).tolist(), starts.tolist(), strict=True):
+                    have = weights.setdefault(h, [0, 0])
+                    have[0] += own
+                    have[1] += int(within[q + own] - within[q])
+                for q, h in enumerate(tool.exact(tokens, same).view(np.int64).tolist()):
+                    weights.setdefault(h, [0, 0])[1] += int(before[q + same] - before[q])
+                rows += [(item, h, a, b, len(tokens.template), int(word.sum())) for h, (a, b) in weights.items()]
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["item", "h", "by_template", "by_word", "n_template", "n_word"])
+
     items = items.withColumn("item", F.xxhash64("item_id", "item_text"))
-    wanted = materialize(hashed(items.select("item", "item_text"), "item", "item_text", True).distinct())
-    n_items = wanted.groupBy("item").agg(F.count("*").alias("n"))
-    shared = hashed(rows, "doc_id", "text", False).distinct().join(wanted, "h").groupBy("doc_id", "tk", "item").agg(F.count("*").alias("common"))
-    # a covered token needs a common window, and a window covers at most ``width`` tokens
-    pairs = materialize(shared.join(n_items, "item").where(F.col("common") * width >= COVER * F.col("n")).select("doc_id", "tk", "item"))
+    wanted = materialize(items.select("item", "item_text").dropDuplicates(["item"]).mapInArrow(weighed, "item long, h long, by_template long, by_word long, n_template long, n_word long"))
+    shared = hashed(rows, "text").distinct().join(wanted, "h").groupBy("doc_id", "tk", "item", "n_template", "n_word").agg(F.sum("by_template").alias("by_template"), F.sum("by_word").alias("by_word"))
+    # a covered token needs a common window; every place of a window in the item counts
+    possible = (F.col("by_template") >= COVER * F.col("n_template")) | (F.col("by_word") >= COVER * F.col("n_word"))
+    pairs = materialize(shared.where(possible).select("doc_id", "tk", "item"))
     joined = pairs.join(items.dropDuplicates(["item"]), "item").join(rows, ["doc_id", "tk"]).select("doc_id", "tk", "item_id", "item_text", "text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

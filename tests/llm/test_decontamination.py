@@ -47,3 +47,15 @@ def test_odd_rows(spark, odd, none):
         assert dec.find(none, items, index_rows=index_rows).count() == 0 and dec.find(odd, items.limit(0), index_rows=index_rows).count() == 0
     kept = dec.drop_contaminated(odd, items)
     assert kept.schema == odd.schema and kept.count() == odd.count()
+
+
+@pytest.mark.parametrize("index_rows", [0, 1_000_000])
+def test_items_of_numbers_names_and_few_words_are_found_where_copied(spark, index_rows):
+    copied = {
+        1: "Solve 3 x 5 + 2 x 4 = ?", 2: "12 45 7 1,000 3.5 90 11 8", 3: "Anna Berg, Carl Stone, Maria Lund, Peter Holm", 4: "Berlin has many lakes",
+        5: "Name Three Big Rivers", 6: "5 kg 3 km 2 hours 40 percent 7 days 9 miles", 7: "what is 3 + 4 ?",
+    }
+    others = {20: "He said solve 3 x 5 - 2 x 4 = ? to them", 21: "then what is 3 - 4 ?", 22: "see 12 45 8 1,000 3.5 91 11 8 there", 23: "Anna Stone, Carl Berg, Maria Holm, Peter Lund"}
+    docs = [(i, f"They wrote that {t} and went on with Other things.") for i, t in copied.items()] + list(others.items())
+    found = dec.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(copied.items()), "item_id long, text string"), index_rows=index_rows).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i in copied} and all(r.exact and r.coverage >= 0.8 for r in found)
