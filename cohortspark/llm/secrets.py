@@ -5,7 +5,8 @@ every other long token: it infers an encoding, tests the token against a random
 (chi-squared uniformity over the alphabet, runs about the middle of the alphabet, serial correlation of
 neighbours), and calls it a secret unless the tests reject randomness. Rejections are controlled over all
 candidates of the corpus by Benjamini-Hochberg with weights by length: a long token gives the tests more power
-and so more of the error budget, and a token too short for an encoding's tests is no candidate.
+and so more of the error budget, and a token too short for an encoding's tests is no candidate. A token with '/',
+'+', '-' or '_' is tested as a whole and in its pieces, so that a path before a random part hides nothing.
 """
 
 from __future__ import annotations
@@ -40,7 +41,10 @@ ENCODINGS = (
     ("base64", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/", 20, ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")),
     ("base64url", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_-", 20, ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")),
 )
-_TABLES = tuple((name, {c: i for i, c in enumerate(alphabet)}, least, tuple(map(frozenset, classes))) for name, alphabet, least, classes in ENCODINGS)
+#: Mixed-case encodings once more, for random tokens that happen to hold no digit.
+DIGITLESS = tuple((name, alphabet, least, classes[1:]) for name, alphabet, least, classes in ENCODINGS if name in ("base62", "base64", "base64url"))
+_TABLES = tuple((name, {c: i for i, c in enumerate(alphabet)}, least, tuple(map(frozenset, classes))) for name, alphabet, least, classes in ENCODINGS + DIGITLESS)
+PIECES = tuple(re.compile(p, re.ASCII) for p in ("[^/+]{20,}", "[^-_]{20,}", "[^/+_-]{20,}"))
 RATE = 0.05
 LENGTH_WEIGHT = 32
 #: p-values are counted in cells of a logarithmic scale, ``CELLS`` to a factor of ten, down to 1e-30.
@@ -108,17 +112,26 @@ def weight(length: int) -> float:
     return max(0.5, min(2.0, length / LENGTH_WEIGHT))
 
 
+def pieces(start: int, token: str) -> list[tuple[int, int]]:
+    """Spans of a token and of its pieces between separators that reach the least length of any encoding."""
+    spans = {(start, start + len(token))}
+    if any(c in token for c in "/+-_"):
+        spans |= {(start + m.start(), start + m.end()) for cut in PIECES for m in cut.finditer(token)}
+    return sorted(spans)
+
+
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str, float, int]]:
-    """(start, end, encoding, p, length) of the tokens outside the base spans that look encoded."""
+    """(start, end, encoding, p, length) of the tokens and pieces outside the base spans that look encoded."""
     found = []
     for m in CANDIDATE.finditer(text):
-        if any(a < m.end() and m.start() < b for a, b, _ in base):
-            continue
-        fits = encoding(m.group())
-        if fits is not None:
-            name, places = fits
-            letters = next(len(e[1]) for e in ENCODINGS if e[0] == name)
-            found.append((m.start(), m.end(), name, combined(battery(places, letters)), len(places)))
+        for start, end in pieces(m.start(), m.group()):
+            if any(a < end and start < b for a, b, _ in base):
+                continue
+            fits = encoding(text[start:end])
+            if fits is not None:
+                name, places = fits
+                letters = next(len(e[1]) for e in ENCODINGS if e[0] == name)
+                found.append((start, end, name, combined(battery(places, letters)), len(places)))
     return found
 
 
@@ -171,12 +184,15 @@ def rejected_below(scanned: DataFrame, rate: float = RATE) -> int:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base, random) a row.
 
-    ``base`` lists kind:start:end of the pattern spans; ``random`` holds the tokens that pass the battery. Null
-    and empty texts have none. Every row is scanned by itself, so repeated rows and ids stay as they are.
+    ``base`` lists kind:start:end of the pattern spans; ``random`` holds the tokens and pieces that pass the battery, none
+    inside another. Null and empty texts have none. Every row is scanned by itself, so repeated rows and ids stay as they are.
     """
     scanned = materialize(scan(docs, id_col, text_col))
     limit = rejected_below(scanned, rate)
-    return scanned.withColumn("random", F.filter("found", lambda f: f["cell"] >= limit)).drop("found")
+    passed = F.filter("found", lambda f: f["cell"] >= limit)
+    inside = lambda f, g: (g["start"] <= f["start"]) & (f["end"] <= g["end"]) & (g["end"] - g["start"] > f["end"] - f["start"])
+    outer = F.filter("passed", lambda f: ~F.exists("passed", lambda g: inside(f, g)))
+    return scanned.withColumn("passed", passed).withColumn("random", outer).drop("found", "passed")
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,3 +57,17 @@ def test_odd_secrets(odd, none):
     rows = secrets.find(odd).collect()
     assert len(rows) == odd.count() and all(r.base == "" and not r.random for r in rows if r.doc_id in (2, 3, 4))
     assert secrets.find(none).count() == 0
+
+
+def test_random_parts_of_paths_and_tokens_without_digits(spark):
+    draw = random.Random(17)
+    base62, letters = secrets.ENCODINGS[5][1], secrets.ENCODINGS[5][1][10:]
+    heads = ["https://host.example/reset-password/", "/api_v1/keys/", "/srv/data+sets/my-own_project/", f"/id/{'0123456789abcdef' * 2}/"]
+    parts = ["".join(draw.choices(base62, k=40)) for _ in range(40)]
+    texts = [f"see {heads[i % 4]}{t} here" for i, t in enumerate(parts)]
+    bare = ["".join(draw.choices(letters, k=20)) for _ in range(20)]
+    found = {r.doc_id: r.random for r in secrets.find(spark.createDataFrame(list(enumerate(texts + bare)), "doc_id long, text string")).collect()}
+    hits = sum(any(f.start <= texts[i].index(t) and f.end >= texts[i].index(t) + 40 for f in found[i]) for i, t in enumerate(parts))
+    assert hits >= 0.85 * len(parts) and sum(len(found[len(texts) + i]) == 1 for i in range(20)) >= 14
+    assert all(not (f != g and g.start <= f.start and f.end <= g.end) for r in found.values() for f in r for g in r)
+    assert secrets.candidates("https://host.example/some/long/path/without/any/token", []) == []
