@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortspark.llm import decontamination, language, lines, packing, secrets, simhash, sketches, substrings, toxicity, warc
+from cohortspark.llm import byte_bpe, decontamination, language, lines, packing, secrets, simhash, sketches, substrings, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_lines": lines.op8_lines,
     "op9_fingerprints": sketches.op9_fingerprints,
     "op10_secrets": secrets.op10_secrets,
+    "op11_byte_bpe": byte_bpe.op11_byte_bpe,
 }
 ORACLES = {
     "op3_warc": warc.OP3_SQL,
