@@ -334,8 +334,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
 
 def as_array(ids: Column) -> Column:
-    """Ids as an array of numbers."""
-    return F.transform(F.sequence(F.lit(1), F.length(ids) - 3, F.lit(4)), lambda i: F.conv(F.hex(F.reverse(F.hex(F.substring(ids, i, F.lit(4))))), 16, 10).cast("long"))
+    """Ids as an array of numbers; null for null."""
+    one = lambda i: F.conv(F.concat(*[F.hex(F.substring(ids, 4 * i - k, F.lit(1))) for k in range(4)]), 16, 10).cast("long")
+    return F.when(F.length(ids) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), (F.length(ids) / 4).cast("int")), one))
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:

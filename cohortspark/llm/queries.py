@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortspark.llm import byte_bpe, decontamination, language, lines, packing, secrets, simhash, sketches, substrings, toxicity, warc
+from cohortspark.llm import byte_bpe, decontamination, language, lines, packing, secrets, simhash, sketches, substrings, toxicity, warc, whitening
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_fingerprints": sketches.op9_fingerprints,
     "op10_secrets": secrets.op10_secrets,
     "op11_byte_bpe": byte_bpe.op11_byte_bpe,
+    "op12_whitening": whitening.op12_whitening,
 }
 ORACLES = {
     "op3_warc": warc.OP3_SQL,
