@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortspark.llm import byte_bpe, decontamination, language, lines, packing, secrets, simhash, sketches, substrings, toxicity, warc, whitening
+from cohortspark.llm import byte_bpe, collocations, decontamination, language, lines, packing, secrets, simhash, sketches, substrings, toxicity, warc, whitening
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -17,9 +17,11 @@ QUERIES = {
     "op10_secrets": secrets.op10_secrets,
     "op11_byte_bpe": byte_bpe.op11_byte_bpe,
     "op12_whitening": whitening.op12_whitening,
+    "op13_collocations": collocations.op13_collocations,
 }
 ORACLES = {
     "op3_warc": warc.OP3_SQL,
     "op4_substrings": substrings.OP4_SQL,
     "op8_lines": lines.OP8_SQL,
+    "op13_collocations": collocations.OP13_SQL,
 }
