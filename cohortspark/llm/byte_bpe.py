@@ -3,7 +3,7 @@
 A text is cut into words by the vocabulary's pattern. A word is an array of its bytes; a step of the fold looks up
 the ranks of the neighbouring pairs in a literal rank map, joins the leftmost pair of lowest rank, and looks up
 the two pairs this makes. The fold runs on distinct words: words are counted over all documents, and those
-frequent enough to be at most ``HEAD`` are folded once and sent to every task, so no text and no word occurrence is
+frequent enough to be at most ``HEAD`` (those met once in a million words don't count) are folded once and sent to every task, so no text and no word occurrence is
 shuffled at any size of the corpus. Rare words are met where they occur: with ``fold_all`` they are left open,
 folded by the same expression in the same pass, and filled in; else the same steps run in the task's Python, which
 takes a tenth of the time.
@@ -20,7 +20,6 @@ import json
 import re
 import sys
 import types
-import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -46,6 +45,7 @@ HOLE = 1 << 31
 CACHED_UNITS = 150_000
 _ENDS = frozenset(".,;:!?")  # signs that are a word of their own after letters
 _EDGE = re.compile(r"(?<=\S) (?=\S)")
+_BLANKS = re.compile(r"\s{3}|\s\s\Z")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -164,14 +164,14 @@ def merge_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Splitter:
     """Words of a text by the vocabulary's pattern, letters and numbers as the tokenizer library knows them.
 
-    A text is first cut before each blank that stands alone between two other signs, where no word can cross. Most
-    of these units are plain letters, perhaps with one sign of punctuation, and need no pattern.
+    A text is first cut before each blank and around each line feed, where no word can cross unless three or more
+    blanks and line feeds follow each other or two end the text. Most of these units are plain letters, perhaps with
+    one sign of punctuation, and need no pattern.
     """
 
     def __init__(self, pattern: str, other: str, exact: str):
         self.pattern, self.exact = regex.compile(pattern), regex.compile(exact, regex.V1)
         self.other = regex.compile(other) if other else None
-        self.fits: dict[str, bool] = {}
 
     def words(self, unit: str) -> list[bytes]:
         """The words of a unit, given with the blank before it."""
@@ -185,20 +185,13 @@ class Splitter:
             return [w.encode() for w in self.exact.findall(unit)]
         return [w.encode() for w in self.pattern.findall(unit)]
 
-    def units(self, text: str) -> list[str]:
-        """The units of a text; all but the first have a blank before them that is not given."""
-        found = text.split(" ")
-        fits = self.fits
-        for unit in found:
-            if not (fits[unit] if unit in fits else self._fits(unit)):
-                return _EDGE.split(text)
-        return found
-
-    def _fits(self, unit: str) -> bool:
-        good = unit != "" and not unit[0].isspace() and not unit[-1].isspace()
-        if len(self.fits) < CACHED_UNITS:
-            self.fits[unit] = good
-        return good
+    @staticmethod
+    def units(text: str) -> list[str]:
+        """The units of a text, in order, each with the blank before it."""
+        if "\0" in text or _BLANKS.search(text):
+            first, *rest = _EDGE.split(text)
+            return [first, *(" " + unit for unit in rest)]
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
 
 def library_classes(pattern: str) -> tuple[str, str, str]:
@@ -236,32 +229,32 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def word_counts(docs: DataFrame, text_col: str = "text", pattern: str | None = None) -> DataFrame:
-    """(word, n): how often each word of at most ``LONG`` bytes occurs in all texts. Null texts have none."""
+def word_counts(docs: DataFrame, text_col: str = "text", pattern: str | None = None, least: int = 1) -> DataFrame:
+    """(word, n): how often each word of at most ``LONG`` bytes occurs in all texts. Null texts have none.
+
+    What a stretch of about a million words has fewer than ``least`` times is not counted there.
+    """
     classes = library_classes(pattern or _pattern())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = kept_in_worker(f"splitter:{classes[0]}", lambda: Splitter(*classes))
 
-        def counted(first: Counter, rest: Counter) -> pa.RecordBatch:
+        def counted(units: Counter) -> pa.RecordBatch:
             words: Counter = Counter()
-            for lead, units in (("", first), (" ", rest)):
-                for unit, n in units.items():
-                    for word in splitter.words(lead + unit):
-                        words[word] += n
-            found = [(w, n) for w, n in words.items() if len(w) <= LONG]
+            for unit, n in units.items():
+                for word in splitter.words(unit):
+                    words[word] += n
+            found = [(w, n) for w, n in words.items() if n >= least and len(w) <= LONG]
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], names=["word", "n"])
 
-        first, rest = Counter(), Counter()
+        units: Counter = Counter()
         for _, texts in sliced(batches, "text"):
             for text in texts:
-                units = splitter.units(text.decode())
-                first[units[0]] += 1
-                rest.update(units[1:])
-            if len(first) + len(rest) > CACHED_UNITS:
-                yield counted(first, rest)
-                first, rest = Counter(), Counter()
-        yield counted(first, rest)
+                units.update(splitter.units(text.decode()))
+                if len(units) > CACHED_UNITS:
+                    yield counted(units)
+                    units = Counter()
+        yield counted(units)
 
     counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word binary, n long")
     return counts.groupBy("word").agg(F.sum("n").alias("n"))
@@ -301,15 +294,14 @@ def encode(
     ranks, classes = load_ranks(path), library_classes(pattern)
     literal = rank_map(ranks)
     rows = _rows(docs, id_col, text_col)
-    heads = frequent(materialize(word_counts(docs, text_col, pattern)), head).select("word", folded(F.col("word"), literal).alias("ids"))
+    heads = frequent(materialize(word_counts(docs, text_col, pattern, 2)), head).select("word", folded(F.col("word"), literal).alias("ids"))
     known = {bytes(r.word): np.array(r.ids, "<u4").tobytes() for r in heads.toLocalIterator()}  # at most ``head`` words
-    shared, key = rows.sparkSession.sparkContext.broadcast((known, ranks)), uuid.uuid4().hex
+    shared = rows.sparkSession.sparkContext.broadcast((known, ranks))
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Ids with a numbered hole for each word that is left to Spark, and these words."""
         splitter = kept_in_worker(f"splitter:{classes[0]}", lambda: Splitter(*classes))
         words, all_ranks = shared.value
-        cached = kept_in_worker(f"units:{key}", dict)
 
         def one(word: bytes) -> bytes | None:
             if len(word) > long:
@@ -319,24 +311,22 @@ def encode(
                 own = b"".join([x.to_bytes(4, "little") for x in merge_short(word, all_ranks)])
             return own
 
+        class Units(dict):
+            def __missing__(self, unit: str) -> bytes:
+                found = list(map(one, splitter.words(unit)))
+                if None in found:  # with ``fold_all``
+                    found = [(HOLE + holes.setdefault(w, len(holes))).to_bytes(4, "little") if x is None else x for w, x in zip(splitter.words(unit), found, strict=True)]
+                    return b"".join(found)
+                ids = b"".join(found)
+                if len(self) < CACHED_UNITS:
+                    self[unit] = ids
+                return ids
+
+        cached, holes = Units(), {}
+
         def of(text: str) -> tuple[bytes, list[bytes]]:
-            parts, holes, lead = [], {}, ""
-            for unit in splitter.units(text):
-                unit = lead + unit
-                ids = cached.get(unit)
-                if ids is None:
-                    found = splitter.words(unit)
-                    made = list(map(one, found))
-                    if None in made:
-                        made = [(HOLE + holes.setdefault(w, len(holes))).to_bytes(4, "little") if x is None else x for w, x in zip(found, made, strict=True)]
-                        ids = b"".join(made)
-                    else:
-                        ids = b"".join(made)
-                        if len(cached) < CACHED_UNITS:
-                            cached[unit] = ids
-                parts.append(ids)
-                lead = " "
-            return b"".join(parts), list(holes)
+            holes.clear()
+            return b"".join(map(cached.__getitem__, splitter.units(text))), list(holes)
 
         for part, texts in sliced(batches, "text"):
             found = [of(t.decode()) for t in texts]
