@@ -92,15 +92,19 @@ def parse_ymd_hms(col: Column) -> Column:
     return F.when(col.rlike(shape), _in_utc(iso.try_cast("timestamp_ntz"), F.regexp_extract(col, shape, 7)))
 
 
-def parse_dt(df: DataFrame, name: str) -> Column:
+def parse_dt_column(kind: T.DataType, col: Column) -> Column:
     """One UTC clock: wall-clock timestamps pass through, instants are given in UTC whatever the session's
     zone, text is parsed, unparseable text is NULL."""
-    kind = df.schema[name].dataType
     if isinstance(kind, T.StringType):
-        return parse_ymd_hms(F.col(name))
+        return parse_ymd_hms(col)
     if isinstance(kind, T.TimestampType):
-        return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(name).cast("timestamp_ntz"))
-    return F.col(name)
+        return F.convert_timezone(F.current_timezone(), F.lit("UTC"), col.cast("timestamp_ntz"))
+    return col
+
+
+def parse_dt(df: DataFrame, name: str) -> Column:
+    """A column of a table on one UTC clock, by its type (see ``parse_dt_column``)."""
+    return parse_dt_column(df.schema[name].dataType, F.col(name))
 
 
 def parse_flexible_datetime(col: Column, zone: str = "America/Chicago") -> Column:

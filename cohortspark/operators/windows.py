@@ -1,28 +1,35 @@
-"""Events inside a time window around a per-key anchor, and their features.
-
-One key may hold a large part of all events. Events are therefore spread over
-``salts`` parts of each key and the (one row per key) anchors are repeated once
-per part. Windowed events are first reduced to one row per key, part and
-distinct raw text, with the extremes of the number beside it, so text is
-cleaned and matched once per distinct text of a key, not once per event.
-Events of other keys are dropped first by a semi-join. Pass stored anchors: the
-planner then knows their size in bytes and broadcasts them, or shuffles both
-sides, by that alone; the plan's steps are the same at every size.
+"""Events inside a time window around a per-key anchor, and their features, for several event tables at once.
+
+The event tables are put into one tagged union with a typed struct for each table's raw columns. The union is
+joined with the (one row per key) anchors once and cut to each table's own window; times, texts and numbers are
+parsed only behind the join, so only for the events of anchored keys. Windowed events are first reduced to one row per key, part, table
+and distinct raw text, with the extremes of the number beside it, so text is cleaned and matched once per distinct
+text of a key. A last aggregate gives all features of a key.
+
+Pass stored anchors: the planner then knows their size in bytes. If that lets it broadcast them, no event moves.
+If not, a sketch of frequent items finds the keys that hold many events, however they are distributed: only these
+are spread over parts, as many as their number of events asks for, and only their anchors are repeated. All other
+keys have one part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.scalars import parse_dt_column
 from .anchors import KEY
 
-SALTS = 8
+#: Events of a key that one part holds; keys the sketch reports at most, and items it tracks.
+PART_ROWS = 1_000_000
+HOT_KEYS, TRACKED = 1_000, 10_000
 HIGH, LOW = "__high", "__low"
-_SALT = "__part"
+_PART, _TAG, _AT = "__part", "__tag", "__at"
+Get = Callable[[str], Column]
 
 
 @dataclass(frozen=True)
@@ -51,11 +58,65 @@ class Feature:
         return out.alias(self.name)
 
 
+@dataclass(frozen=True)
+class Source:
+    """One event table and what is asked of it.
+
+    ``raw`` are the columns that texts are made of, ``number`` one more that ``parse`` turns into a double.
+    ``texts`` names the cleaned columns, given a way to get a raw column; ``keep`` and ``features`` get cleaned
+    columns the same way.
+    """
+
+    events: DataFrame
+    time: str
+    raw: tuple[str, ...]
+    texts: Callable[[Get], Mapping[str, Column]]
+    features: Callable[[Get], list[Feature]]
+    number: str | None = None
+    parse: Callable[[Column], Column] = field(default=lambda column: column)
+    keep: Callable[[Get], Column] | None = None
+    before_hours: int = 24
+    after_hours: int = 72
+
+
 def window_bounds(anchor: Column, before_hours: int, after_hours: int) -> tuple[Column, Column]:
     """Both bounds belong to the window."""
     return anchor - F.expr(f"INTERVAL '{before_hours}' HOUR"), anchor + F.expr(f"INTERVAL '{after_hours}' HOUR")
 
 
+def is_broadcast(df: DataFrame) -> bool:
+    """Whether the planner's own size of a stored frame lets it broadcast it."""
+    text = str(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")).strip().lower()
+    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+    digits = text.rstrip("bkmg")
+    limit = int(digits) * units.get(text[len(digits):] or "b", 1)
+    return 0 <= int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+
+
+def hot_parts(events: DataFrame, key: str = KEY, part_rows: int = PART_ROWS) -> dict:
+    """Parts for the keys that hold more than ``part_rows`` events, by a mergeable sketch of frequent items.
+
+    One pass over the key column; tasks send sketches of a fixed size. The sketch overestimates, never misses a key
+    of more than a 7,500th of all events, and reports at most ``HOT_KEYS``.
+    """
+    found = events.filter(F.col(key).isNotNull()).agg(F.expr(f"approx_top_k(`{key}`, {HOT_KEYS}, {TRACKED})")).first()[0]
+    return {item["item"]: -(-item["count"] // part_rows) for item in found or [] if item["count"] > part_rows}
+
+
+def anchored(events: DataFrame, anchors: DataFrame, spread: Column, key: str, part_rows: int) -> DataFrame:
+    """Events with their anchor's columns and the part of the key they are in; an inner join on the key."""
+    if is_broadcast(anchors):
+        return events.join(anchors, key).withColumn(_PART, F.lit(0))
+    parts = hot_parts(events, key, part_rows)
+    kind = events.schema[key].dataType
+    table = events.sparkSession.createDataFrame(list(parts.items()), T.StructType([T.StructField(key, kind), T.StructField("__parts", T.LongType())]))
+    many = F.coalesce(F.col("__parts"), F.lit(1))
+    # at most ``HOT_KEYS`` rows are broadcast
+    left = events.join(F.broadcast(table), key, "left").withColumn(_PART, F.pmod(F.xxhash64(spread), many)).drop("__parts")
+    right = anchors.join(F.broadcast(table), key, "left").withColumn(_PART, F.explode(F.sequence(F.lit(0).cast("long"), many - 1))).drop("__parts")
+    return left.join(right, [key, _PART])
+
+
 def anchored_rows(
     events: DataFrame,
     anchors: DataFrame,
@@ -64,26 +125,80 @@ def anchored_rows(
     after_hours: int = 72,
     key: str = KEY,
     anchor: str = "first_icu_in",
-    salts: int = SALTS,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """Events of anchored keys inside the window, with the part they were spread to."""
+    """Events of anchored keys inside the window, with the part of the key they were spread to."""
     # The bounds are computed once per anchor, not once per event.
     first, last = window_bounds(F.col(anchor), before_hours, after_hours)
-    right = anchors.filter(F.col(anchor).isNotNull()).select(
-        key, anchor, first.alias("__first"), last.alias("__last")
-    )
-    # The semi-join moves below whatever computes the events' columns (text parsing, views), so that only the
-    # cohort's events are computed at all.
-    mine = events.join(anchors.select(key), key, "left_semi").filter(F.col(time).isNotNull())
-    spread = F.pmod(F.xxhash64(F.col(time)), F.lit(salts)).cast("int")
-    parts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    joined = mine.select("*", spread.alias(_SALT)).join(right.select("*", parts.alias(_SALT)), [key, _SALT])
+    right = anchors.filter(F.col(anchor).isNotNull()).select(key, anchor, first.alias("__first"), last.alias("__last"))
+    joined = anchored(events.filter(F.col(time).isNotNull()), right, F.col(time), key, part_rows)
     return joined.filter(F.col(time).between(F.col("__first"), F.col("__last"))).drop("__first", "__last")
 
 
 def anchored_interval_join(events: DataFrame, anchors: DataFrame, time: str, **window) -> DataFrame:
     """Events inside the window, with the anchor column."""
-    return anchored_rows(events, anchors, time, **window).drop(_SALT)
+    return anchored_rows(events, anchors, time, **window).drop(_PART)
+
+
+def union_features(
+    sources: list[Source], anchors: DataFrame, key: str = KEY, anchor: str = "first_icu_in", part_rows: int = PART_ROWS
+) -> DataFrame:
+    """One row per key that has a windowed event of any source, with the features of all sources.
+
+    A source without a windowed event of the key gives 0 for its ``any`` features and missing values for the rest.
+    """
+    names = [f"__s{i}" for i in range(len(sources))]
+    shapes = [
+        ", ".join(f"`{c}`: {s.events.schema[c].dataType.simpleString()}" for c in dict.fromkeys([s.time, *s.raw, *([s.number] if s.number else [])]))
+        for s in sources
+    ]
+
+    def tagged(i: int, s: Source) -> DataFrame:
+        own = F.struct(*dict.fromkeys([s.time, *s.raw, *([s.number] if s.number else [])]))
+        bodies = [own.alias(n) if j == i else F.lit(None).cast(f"struct<{shapes[j]}>").alias(n) for j, n in enumerate(names)]
+        return s.events.filter(F.col(s.time).isNotNull()).select(key, F.lit(i).alias(_TAG), *bodies)
+
+    union = tagged(0, sources[0])
+    for i, s in enumerate(sources[1:], 1):
+        union = union.unionByName(tagged(i, s))
+    # the stored anchors themselves, so that their size is known
+    right = anchors.select(key, anchor)
+    rows = anchored(union, right, F.struct(_TAG, *[F.col(n)[s.time] for n, s in zip(names, sources, strict=True)]), key, part_rows)
+
+    def choose(column: Callable[[int, Source], Column | None], otherwise: Column) -> Column:
+        out = None
+        for i, s in enumerate(sources):
+            value = column(i, s)
+            if value is not None:
+                out = F.when(F.col(_TAG) == i, value) if out is None else out.when(F.col(_TAG) == i, value)
+        return otherwise if out is None else out.otherwise(otherwise)
+
+    at = choose(lambda i, s: parse_dt_column(s.events.schema[s.time].dataType, F.col(names[i])[s.time]), F.lit(None).cast("timestamp_ntz"))
+    inside = choose(lambda i, s: F.col(_AT).between(*window_bounds(F.col(anchor), s.before_hours, s.after_hours)), F.lit(False))
+    number = choose(lambda i, s: None if s.number is None else s.parse(F.col(names[i])[s.number]), F.lit(None).cast("double"))
+    # behind the join only raw texts are left of a struct, so that equal texts of a key meet
+    texts = [F.when(F.col(n).isNotNull(), F.struct(*[F.col(n)[c].alias(c) for c in s.raw])).alias(n) for n, s in zip(names, sources, strict=True) if s.raw]
+    kept = [n for n, s in zip(names, sources, strict=True) if s.raw]
+    numbered = rows.withColumn(_AT, at).filter(inside).select(key, _PART, _TAG, *texts, number.alias("__number"))
+    reduced = numbered.groupBy(key, _PART, _TAG, *kept).agg(F.max("__number").alias(HIGH), F.min("__number").alias(LOW))
+
+    def raw_of(i: int) -> Get:
+        return lambda c: F.col(names[i])[c]
+
+    def clean_of(i: int) -> Get:
+        return lambda c: F.col(f"__c{i}")[c]
+
+    cleaned = []
+    for i, s in enumerate(sources):
+        own = s.texts(raw_of(i))
+        if own:
+            cleaned.append(F.when(F.col(_TAG) == i, F.struct(*[c.alias(n) for n, c in own.items()])).alias(f"__c{i}"))
+    clean = reduced.select(key, _TAG, HIGH, LOW, *cleaned)
+    clean = clean.filter(choose(lambda i, s: None if s.keep is None else s.keep(clean_of(i)), F.lit(True)))
+    features = [
+        Feature(f.name, f.kind, F.when(F.col(_TAG) == i, f.cond)).aggregate() for i, s in enumerate(sources) for f in s.features(clean_of(i))
+    ]
+    return clean.groupBy(key).agg(*features)
 
 
 def anchored_features(
@@ -97,7 +212,7 @@ def anchored_features(
     keep: Column | None = None,
     **window,
 ) -> DataFrame:
-    """One row per key that has a windowed event.
+    """One row per key that has a windowed event of one table.
 
     The events' columns besides key, time and ``number`` are the raw texts;
     ``texts`` names the cleaned columns that ``keep`` and the features use.
@@ -106,17 +221,9 @@ def anchored_features(
     rows = anchored_rows(events, anchors, time, **window)
     value = F.lit(None).cast("double") if number is None else parse(F.col(number))
     raw = [c for c in events.columns if c not in (key, time, number)]
-    numbered = rows.select(key, _SALT, *raw, value.alias("__number"))
-    reduced = numbered.groupBy(key, _SALT, *raw).agg(
-        F.max("__number").alias(HIGH), F.min("__number").alias(LOW)
-    )
+    numbered = rows.select(key, _PART, *raw, value.alias("__number"))
+    reduced = numbered.groupBy(key, _PART, *raw).agg(F.max("__number").alias(HIGH), F.min("__number").alias(LOW))
     cleaned = reduced.select(key, HIGH, LOW, *[column.alias(name) for name, column in texts.items()])
     if keep is not None:
         cleaned = cleaned.filter(keep)
     return cleaned.groupBy(key).agg(*[f.aggregate() for f in features])
-
-
-def anchored_ids(events: DataFrame, anchors: DataFrame, time: str, flag_name: str, **window) -> DataFrame:
-    """Keys with any event in the window, flagged 1."""
-    key = window.get("key", KEY)
-    return anchored_rows(events, anchors, time, **window).select(key).distinct().withColumn(flag_name, F.lit(1))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import clean_string, mentions, parse_dt, to_num, try_num, upper_code
 from ..functions.semantics import flag, in_set, known, sum_or_zero
 from ..operators.anchors import KEY, SUPPORTIVE_DX, dx_flags, icu_anchor, poa_cancer
-from ..operators.windows import Feature, anchored_features, anchored_ids
+from ..operators.windows import Feature, Get, Source, union_features
 from ..sources.io import materialize, require_tables
 
 ADULT_AGE = 18
@@ -139,10 +139,6 @@ def cancer_icu_broad(hospitalization: DataFrame, adt: DataFrame, diagnoses: Data
     return cohort_inner(hospitalization, icu_anchor(adt), poa_cancer(diagnoses))
 
 
-def _events(table: DataFrame, time: str, columns: list[str]) -> DataFrame:
-    return table.select(KEY, parse_dt(table, time).alias(time), *columns)
-
-
 def _no_events(anchors: DataFrame, flags: list[str], values: list[str], text: tuple[str, ...] = ()) -> DataFrame:
     """Block of an absent optional table: zero flags, missing values."""
     return anchors.select(
@@ -153,19 +149,16 @@ def _no_events(anchors: DataFrame, flags: list[str], values: list[str], text: tu
     )
 
 
-def resp_features(respiratory: DataFrame | None, anchors: DataFrame, **window) -> DataFrame:
-    if respiratory is None:
-        return _no_events(anchors, SUPPORT_FLAGS[:3], ["max_fio2"])
-    device = F.col("device")
-    return anchored_features(
-        _events(respiratory, "recorded_dttm", ["device_category", "fio2_set"]),
-        anchors,
+def resp_source(respiratory: DataFrame, **window) -> Source:
+    return Source(
+        respiratory,
         "recorded_dttm",
-        {"device": clean_string(F.col("device_category"))},
-        [
-            Feature("any_imv", "any", device == "imv"),
-            Feature("any_hfnc", "any", device.isin(*HFNC_DEVICES)),
-            Feature("any_nippv", "any", device.isin(*NIPPV_DEVICES)),
+        ("device_category",),
+        lambda raw: {"device": clean_string(raw("device_category"))},
+        lambda text: [
+            Feature("any_imv", "any", text("device") == "imv"),
+            Feature("any_hfnc", "any", text("device").isin(*HFNC_DEVICES)),
+            Feature("any_nippv", "any", text("device").isin(*NIPPV_DEVICES)),
             Feature("max_fio2", "max", F.lit(True)),
         ],
         number="fio2_set",
@@ -174,32 +167,53 @@ def resp_features(respiratory: DataFrame | None, anchors: DataFrame, **window) -
     )
 
 
-def _medication_texts() -> dict[str, Column]:
-    return {"name": clean_string(F.col("med_name")), "category": clean_string(F.col("med_category"))}
+def resp_features(respiratory: DataFrame | None, anchors: DataFrame, **window) -> DataFrame:
+    if respiratory is None:
+        return _no_events(anchors, SUPPORT_FLAGS[:3], ["max_fio2"])
+    return _features(resp_source, respiratory, anchors, window)
+
+
+def _features(source: Callable[..., Source], table: DataFrame, anchors: DataFrame, options: Mapping) -> DataFrame:
+    """Features of one table; ``options`` are bounds of the window and what ``union_features`` takes."""
+    bounds = {k: v for k, v in options.items() if k in ("before_hours", "after_hours")}
+    return union_features([source(table, **bounds)], anchors, **{k: v for k, v in options.items() if k not in bounds})
+
 
+def _medication_texts(raw: Get) -> dict[str, Column]:
+    return {"name": clean_string(raw("med_name")), "category": clean_string(raw("med_category"))}
 
-def _drug(drugs: list[str]) -> Column:
+
+def _drug(text: Get, drugs: list[str]) -> Column:
     """Drug named in the medication text, or the category itself."""
-    return mentions(F.col("name"), "|".join(drugs)) | in_set(F.col("category"), drugs)
+    return mentions(text("name"), "|".join(drugs)) | in_set(text("category"), drugs)
 
 
-def vasopressor_features(continuous: DataFrame | None, anchors: DataFrame, **window) -> DataFrame:
-    if continuous is None:
-        return _no_events(anchors, ["any_vasopressor"], [])
-    return anchored_features(
-        _events(continuous, "admin_dttm", ["med_name", "med_category"]),
-        anchors,
+def vasopressor_source(continuous: DataFrame, **window) -> Source:
+    return Source(
+        continuous,
         "admin_dttm",
-        _medication_texts(),
-        [Feature("any_vasopressor", "any", _drug(VASOPRESSORS))],
+        ("med_name", "med_category"),
+        _medication_texts,
+        lambda text: [Feature("any_vasopressor", "any", _drug(text, VASOPRESSORS))],
         **window,
     )
 
 
+def vasopressor_features(continuous: DataFrame | None, anchors: DataFrame, **window) -> DataFrame:
+    if continuous is None:
+        return _no_events(anchors, ["any_vasopressor"], [])
+    return _features(vasopressor_source, continuous, anchors, window)
+
+
+def crrt_source(crrt: DataFrame, **window) -> Source:
+    """Any event in the window counts."""
+    return Source(crrt, "recorded_dttm", (), lambda raw: {}, lambda text: [Feature("any_crrt", "any", F.lit(True))], **window)
+
+
 def crrt_features(crrt: DataFrame | None, anchors: DataFrame, **window) -> DataFrame:
     if crrt is None:
         return _no_events(anchors, ["any_crrt"], [])
-    return anchored_ids(_events(crrt, "recorded_dttm", []), anchors, "recorded_dttm", "any_crrt", **window)
+    return _features(crrt_source, crrt, anchors, window)
 
 
 def administered(action: Column) -> Column:
@@ -208,36 +222,41 @@ def administered(action: Column) -> Column:
     return cleaned.isNull() | (cleaned == "administered")
 
 
-def steroid_rescue_features(intermittent: DataFrame | None, anchors: DataFrame, **window) -> DataFrame:
-    if intermittent is None:
-        return _no_events(anchors, TREATMENT_FLAGS, [], ("steroid_names",))
-    steroid = _drug(STEROIDS)
-    return anchored_features(
-        _events(intermittent, "admin_dttm", ["med_name", "med_category", "mar_action_group"]),
-        anchors,
-        "admin_dttm",
-        {**_medication_texts(), "action": F.col("mar_action_group")},
-        [
+def steroid_rescue_source(intermittent: DataFrame, **window) -> Source:
+    def features(text: Get) -> list[Feature]:
+        steroid = _drug(text, STEROIDS)
+        return [
             Feature("any_steroid", "any", steroid),
-            Feature("any_rescue_immunosuppression", "any", mentions(F.col("name"), "|".join(RESCUE_DRUGS))),
-            Feature("steroid_names", "names", F.when(steroid, F.col("name"))),
-        ],
-        keep=administered(F.col("action")),
+            Feature("any_rescue_immunosuppression", "any", mentions(text("name"), "|".join(RESCUE_DRUGS))),
+            Feature("steroid_names", "names", F.when(steroid, text("name"))),
+        ]
+
+    return Source(
+        intermittent,
+        "admin_dttm",
+        ("med_name", "med_category", "mar_action_group"),
+        lambda raw: {**_medication_texts(raw), "action": raw("mar_action_group")},
+        features,
+        keep=lambda text: administered(text("action")),
         **window,
     )
 
 
-def lab_features(labs: DataFrame | None, anchors: DataFrame, **window) -> DataFrame:
+def steroid_rescue_features(intermittent: DataFrame | None, anchors: DataFrame, **window) -> DataFrame:
+    if intermittent is None:
+        return _no_events(anchors, TREATMENT_FLAGS, [], ("steroid_names",))
+    return _features(steroid_rescue_source, intermittent, anchors, window)
+
+
+def lab_source(labs: DataFrame, **window) -> Source:
     """Extreme value per analyte; the analyte is recognised in the category or the name."""
-    if labs is None:
-        return _no_events(anchors, [], list(LAB_ANALYTES))
-    return anchored_features(
-        _events(labs, "lab_result_dttm", ["lab_category", "lab_name", "lab_value"]),
-        anchors,
+    return Source(
+        labs,
         "lab_result_dttm",
-        {"category": clean_string(F.col("lab_category")), "name": clean_string(F.col("lab_name"))},
-        [
-            Feature(column, kind, mentions(F.col("category"), pattern) | mentions(F.col("name"), pattern))
+        ("lab_category", "lab_name"),
+        lambda raw: {"category": clean_string(raw("lab_category")), "name": clean_string(raw("lab_name"))},
+        lambda text: [
+            Feature(column, kind, mentions(text("category"), pattern) | mentions(text("name"), pattern))
             for column, (kind, pattern) in LAB_ANALYTES.items()
         ],
         number="lab_value",
@@ -246,6 +265,12 @@ def lab_features(labs: DataFrame | None, anchors: DataFrame, **window) -> DataFr
     )
 
 
+def lab_features(labs: DataFrame | None, anchors: DataFrame, **window) -> DataFrame:
+    if labs is None:
+        return _no_events(anchors, [], list(LAB_ANALYTES))
+    return _features(lab_source, labs, anchors, window)
+
+
 def lab_flags(df: DataFrame) -> DataFrame:
     def at_least(name: str, bound: float) -> Column:
         return F.col(name) >= bound
@@ -266,22 +291,23 @@ def lab_flags(df: DataFrame) -> DataFrame:
     )
 
 
-def vital_features(vitals: DataFrame | None, anchors: DataFrame, **window) -> DataFrame:
+def vital_source(vitals: DataFrame, after_hours: int = 24, **window) -> Source:
     """Extremes of the raw vital categories, by default in the day before and after the anchor."""
-    if vitals is None:
-        out = _no_events(anchors, [], list(VITAL_SIGNS))
-    else:
-        out = anchored_features(
-            _events(vitals, "recorded_dttm", ["vital_category", "vital_value"]),
-            anchors,
-            "recorded_dttm",
-            {"sign": F.col("vital_category")},
-            [Feature(column, kind, F.col("sign") == sign) for column, (kind, sign) in VITAL_SIGNS.items()],
-            number="vital_value",
-            parse=try_num,
-            **{"after_hours": 24, **window},
-        )
-    return out.withColumns(
+    return Source(
+        vitals,
+        "recorded_dttm",
+        ("vital_category",),
+        lambda raw: {"sign": raw("vital_category")},
+        lambda text: [Feature(column, kind, text("sign") == sign) for column, (kind, sign) in VITAL_SIGNS.items()],
+        number="vital_value",
+        parse=try_num,
+        after_hours=after_hours,
+        **window,
+    )
+
+
+def vital_flags(df: DataFrame) -> DataFrame:
+    return df.withColumns(
         {
             "fever_flag": flag(F.col("temp_max") >= 38.0),
             "shock_vitals_flag": flag(F.col("map_min") < 65),
@@ -290,6 +316,12 @@ def vital_features(vitals: DataFrame | None, anchors: DataFrame, **window) -> Da
     )
 
 
+def vital_features(vitals: DataFrame | None, anchors: DataFrame, **window) -> DataFrame:
+    if vitals is None:
+        return vital_flags(_no_events(anchors, [], list(VITAL_SIGNS)))
+    return vital_flags(_features(vital_source, vitals, anchors, window))
+
+
 def irae_counts(df: DataFrame) -> DataFrame:
     """Zero-fill the flags and count diagnoses, support and immune signals."""
     flags = [*SUPPORTIVE_DX, *SUPPORT_FLAGS, *TREATMENT_FLAGS, *LAB_FLAGS, *VITAL_FLAGS]
@@ -369,22 +401,30 @@ def irae_features(
 ) -> DataFrame:
     """One row per cohort hospitalization: features, counts, modules and tiers.
 
-    The cohort feeds seven branches, so ``store`` writes it once; the branches
-    then read two of its columns and joins see its true size.
+    ``store`` writes the cohort once, so that joins see its true size. The event tables meet it in one union.
     """
     require_tables(tables)
     cohort = store(cancer_icu_broad(tables["hospitalization"], tables["adt"], tables["hospital_diagnosis"]))
     anchors = cohort.select(KEY, "first_icu_in")
-    blocks = [
-        dx_flags(tables["hospital_diagnosis"].join(anchors.select(KEY), KEY, "left_semi")),
-        resp_features(tables.get("respiratory_support"), anchors),
-        vasopressor_features(tables.get("medication_admin_continuous"), anchors),
-        crrt_features(tables.get("crrt_therapy"), anchors),
-        steroid_rescue_features(tables.get("medication_admin_intermittent"), anchors),
-        lab_flags(lab_features(tables.get("labs"), anchors)),
-        vital_features(tables.get("vitals"), anchors),
-    ]
-    return irae_tiers(irae_modules(irae_counts(feature_assembly(cohort, blocks)), fio2_cut))
+    makers = {
+        "respiratory_support": (resp_source, resp_features),
+        "medication_admin_continuous": (vasopressor_source, vasopressor_features),
+        "crrt_therapy": (crrt_source, crrt_features),
+        "medication_admin_intermittent": (steroid_rescue_source, steroid_rescue_features),
+        "labs": (lab_source, lab_features),
+        "vitals": (vital_source, lambda table, own: _no_events(own, [], list(VITAL_SIGNS))),
+    }
+    present = [source(tables[name]) for name, (source, _) in makers.items() if tables.get(name) is not None]
+    # constant columns of absent tables need no join
+    absent = {}
+    for name, (_, block) in makers.items():
+        if tables.get(name) is None:
+            absent |= {f.name: F.lit(None).cast(f.dataType) for f in block(None, anchors).schema.fields if f.name != KEY}
+    blocks = [dx_flags(tables["hospital_diagnosis"].join(anchors.select(KEY), KEY, "left_semi"))]
+    if present:
+        blocks.append(union_features(present, anchors))
+    features = vital_flags(lab_flags(feature_assembly(cohort, blocks).withColumns(absent)))
+    return irae_tiers(irae_modules(irae_counts(features), fio2_cut))
 
 
 def checkpoint_suspected(features: DataFrame) -> DataFrame:
