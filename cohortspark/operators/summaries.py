@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.semantics import count_where, ratio
-from .quantiles import exact_percentiles, long_numbers, null_safe_join
+from .quantiles import null_safe_join, percentile_table
 
 
 def _rows(wide: DataFrame, by: list[str], variables: list[str], stats: list[str], label: str) -> DataFrame:
@@ -36,26 +36,25 @@ def binary_table(
 
 
 def continuous_table(
-    df: DataFrame,
-    variables: list[str],
-    by: list[str] | None = None,
-    label: str = "variable",
-    few_groups: bool = False,
+    df: DataFrame, variables: list[str], by: list[str] | None = None, label: str = "variable"
 ) -> DataFrame:
-    """n_nonmissing, mean, sd, median, quartiles, min and max per variable and group."""
+    """n_nonmissing, mean, sd, median, quartiles, min and max per variable and group, in two passes over ``df``."""
     by = by or []
     value = F.col("value")
-    moments = long_numbers(df, variables, by, label).groupBy(*by, label).agg(
-        F.count(value).alias("n_nonmissing"),
-        F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("sd"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-    )
-    spread = exact_percentiles(df, variables, [0.25, 0.5, 0.75], by, label, few_groups).select(
-        *by, label, F.col("p")[0].alias("p25"), F.col("p")[1].alias("median"), F.col("p")[2].alias("p75")
+    moments = [F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd")]
+    table = percentile_table(df, variables, [0.25, 0.5, 0.75], by, label, moments)
+    return table.select(
+        *by,
+        label,
+        F.col("__n").alias("n_nonmissing"),
+        "mean",
+        "sd",
+        F.col("__min").alias("min"),
+        F.col("__max").alias("max"),
+        F.col("p")[0].alias("p25"),
+        F.col("p")[1].alias("median"),
+        F.col("p")[2].alias("p75"),
     )
-    return null_safe_join(moments, spread, [*by, label], "left")
 
 
 def category_summary(df: DataFrame, category: str, value: str) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions.scalars import age_at_date, parse_dt, whole_days_between
 from ..functions.semantics import known
 from ..operators.anchors import KEY, ids_ever
 from ..operators.outliers import replace_outliers
-from ..operators.quantiles import exact_percentiles, null_safe_join
+from ..operators.quantiles import percentile_table
 from ..operators.summaries import categorical_table, category_summary
 from .phenotype import adult_filter
 
@@ -108,17 +108,14 @@ def describe_table(
     categories: list[str],
     numbers: list[str],
     by: list[str] | None = None,
-    few_groups: bool = False,
 ) -> DataFrame:
     """Levels with n and percent, numbers with median and quartiles, in one long table."""
     by = by or []
     levels = categorical_table(df, categories, by).select(
         *by, "variable", "level", "n", "pct", *[F.lit(None).cast("double").alias(c) for c in ("median", "p25", "p75")]
     )
-    counts = df.groupBy(*by).agg(*[F.count(v).alias(v) for v in numbers]).unpivot(by, numbers, "variable", "n")
-    spread = exact_percentiles(df, numbers, [0.25, 0.5, 0.75], by, few_groups=few_groups)
-    rows = null_safe_join(counts, spread, [*by, "variable"], "left").select(
-        *by, "variable", F.lit(None).cast("string").alias("level"), "n", F.lit(None).cast("double").alias("pct"),
+    rows = percentile_table(df, numbers, [0.25, 0.5, 0.75], by).select(
+        *by, "variable", F.lit(None).cast("string").alias("level"), F.col("__n").alias("n"), F.lit(None).cast("double").alias("pct"),
         F.col("p")[1].alias("median"), F.col("p")[0].alias("p25"), F.col("p")[2].alias("p75"),
     )
     return levels.unionByName(rows)
@@ -141,7 +138,7 @@ def table_one_hospitalization(hospitalization: DataFrame, patients: DataFrame, a
         .join(ever_icu, KEY, "left")
         .fillna(0, subset=["ever_icu"])
     )
-    return describe_table(data, STAY_CATEGORIES, STAY_NUMBERS, ["ever_icu"], few_groups=True)
+    return describe_table(data, STAY_CATEGORIES, STAY_NUMBERS, ["ever_icu"])
 
 
 def clean_summary(df: DataFrame, limits: DataFrame, category: str, value: str) -> DataFrame:
