@@ -5,8 +5,8 @@ the ranks of the neighbouring pairs in a literal rank map, joins the leftmost pa
 the two pairs this makes. The fold runs on distinct words: words are counted over all documents, and those
 frequent enough to be at most ``HEAD`` (those met once in a million words don't count) are folded once and sent to every task, so no text and no word occurrence is
 shuffled at any size of the corpus. Rare words are met where they occur: with ``fold_all`` they are left open,
-folded by the same expression in the same pass, and filled in; else the same steps run in the task's Python, which
-takes a tenth of the time.
+folded by the same expression in the same pass, and filled in; else the same steps run on arrays of many words at
+once in the task, which takes a tenth of the time.
 
 The fold's work grows with the square of a word's length; words of more than ``LONG`` bytes (runs of letters or
 signs without a blank) are merged through a heap in the task, by the same ranks.
@@ -143,22 +143,77 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return found
 
 
-def merge_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of a short word: the steps of ``folded``."""
-    if word in ranks:
-        return [ranks[word]]
-    get = ranks.get
-    parts = [word[i : i + 1] for i in range(len(word))]
-    pairs = [get(word[i : i + 2], NO_PAIR) for i in range(len(word) - 1)]
-    while pairs and (least := min(pairs)) < NO_PAIR:
-        i = pairs.index(least)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
-        if i:
-            pairs[i - 1] = get(parts[i - 1] + parts[i], NO_PAIR)
-        if i < len(pairs):
-            pairs[i] = get(parts[i] + parts[i + 1], NO_PAIR)
-    return [ranks[p] for p in parts]
+class Ranks(dict):
+    """Ranks of pieces, and the piece that two neighbours make as sorted arrays for many words at once."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__(ranks)
+        self.packed = {piece: rank.to_bytes(4, "little") for piece, rank in ranks.items()}
+        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        made = [(ranks[piece[:i]] << 32 | ranks[piece[i:]], rank) for piece, rank in ranks.items() for i in range(1, len(piece)) if piece[:i] in ranks and piece[i:] in ranks]
+        pairs = np.array(made, np.int64).reshape(-1, 2)
+        pairs = pairs[np.argsort(pairs[:, 0])]
+        self.keys, self.made = np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])
+
+    def together(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank (and id) of the piece that two neighbouring ids make; ``NO_PAIR`` if they make none."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.made[at], NO_PAIR)
+
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """The packed ids of short words: the steps of ``folded`` on all words of about one length at once."""
+        found: dict[int, bytes] = {}
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        for start in range(0, len(order), 8192):
+            rows = order[start : start + 8192]
+            self._merge(rows, [words[i] for i in rows], found)
+        return [found[i] for i in range(len(words))]
+
+    def _merge(self, places: list[int], words: list[bytes], found: dict[int, bytes]) -> None:
+        for i, word in zip(places, words, strict=True):
+            if word in self.packed or not word:
+                found[i] = self.packed.get(word, b"")
+        live = [(i, w) for i, w in zip(places, words, strict=True) if i not in found]
+        if not live:
+            return
+        size = np.array([len(w) for _, w in live])
+        width = int(size.max())
+        ids = self.single[np.frombuffer(b"".join(w.ljust(width, b"\0") for _, w in live), np.uint8)].reshape(-1, width)
+        columns = np.arange(width - 1)
+        ranks = np.where(columns < size[:, None] - 1, self.together(ids[:, :-1], ids[:, 1:]), NO_PAIR)
+        which = np.array([i for i, _ in live])
+        while len(which):
+            at = ranks.argmin(axis=1)
+            row = np.arange(len(which))
+            best = ranks[row, at]
+            done = best == NO_PAIR
+            if done.any():
+                packed = ids[done].astype("<u4")
+                for k, (i, n) in enumerate(zip(which[done].tolist(), size[done].tolist(), strict=True)):
+                    found[i] = packed[k, :n].tobytes()
+                keep = ~done
+                ids, ranks, size, which, at, best = ids[keep], ranks[keep], size[keep], which[keep], at[keep], best[keep]
+                row = np.arange(len(which))
+                if not len(which):
+                    return
+            ids[row, at] = best
+            # what stands behind the joined pair moves up by one
+            if ids.shape[1] > 2:
+                ids = np.where(np.arange(ids.shape[1] - 1) <= at[:, None], ids[:, :-1], ids[:, 1:])
+                ranks = np.where(np.arange(ranks.shape[1] - 1) < at[:, None], ranks[:, :-1], ranks[:, 1:])
+            else:
+                ids, ranks = ids[:, :1], np.full((len(which), 1), NO_PAIR)
+                size = size - 1
+                continue
+            size = size - 1
+            back = np.nonzero(at > 0)[0]
+            ranks[back, at[back] - 1] = self.together(ids[back, at[back] - 1], ids[back, at[back]])
+            ahead = np.nonzero(at < size - 1)[0]
+            ranks[ahead, at[ahead]] = self.together(ids[ahead, at[ahead]], ids[ahead, at[ahead] + 1])
+            last = np.nonzero(at == size - 1)[0]
+            last = last[at[last] < ranks.shape[1]]
+            ranks[last, at[last]] = NO_PAIR
 
 
 class Splitter:
@@ -232,7 +287,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def word_counts(docs: DataFrame, text_col: str = "text", pattern: str | None = None, least: int = 1) -> DataFrame:
     """(word, n): how often each word of at most ``LONG`` bytes occurs in all texts. Null texts have none.
 
-    What a stretch of about a million words has fewer than ``least`` times is not counted there.
+    A unit that a stretch of about a million words has fewer than ``least`` times is not counted there.
     """
     classes = library_classes(pattern or _pattern())
 
@@ -242,9 +297,10 @@ def word_counts(docs: DataFrame, text_col: str = "text", pattern: str | None = N
         def counted(units: Counter) -> pa.RecordBatch:
             words: Counter = Counter()
             for unit, n in units.items():
-                for word in splitter.words(unit):
-                    words[word] += n
-            found = [(w, n) for w, n in words.items() if n >= least and len(w) <= LONG]
+                if n >= least:
+                    for word in splitter.words(unit):
+                        words[word] += n
+            found = [(w, n) for w, n in words.items() if len(w) <= LONG]
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], names=["word", "n"])
 
         units: Counter = Counter()
@@ -297,39 +353,58 @@ def encode(
     heads = frequent(materialize(word_counts(docs, text_col, pattern, 2)), head).select("word", folded(F.col("word"), literal).alias("ids"))
     known = {bytes(r.word): np.array(r.ids, "<u4").tobytes() for r in heads.toLocalIterator()}  # at most ``head`` words
     shared = rows.sparkSession.sparkContext.broadcast((known, ranks))
+    key = zlib.crc32(repr(sorted(ranks.items())).encode())
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Ids with a numbered hole for each word that is left to Spark, and these words."""
         splitter = kept_in_worker(f"splitter:{classes[0]}", lambda: Splitter(*classes))
-        words, all_ranks = shared.value
-
-        def one(word: bytes) -> bytes | None:
-            if len(word) > long:
-                return np.array(merge_long(word, all_ranks), "<u4").tobytes()
-            own = words.get(word)
-            if own is None and not fold_all:
-                own = b"".join([x.to_bytes(4, "little") for x in merge_short(word, all_ranks)])
-            return own
-
-        class Units(dict):
-            def __missing__(self, unit: str) -> bytes:
-                found = list(map(one, splitter.words(unit)))
-                if None in found:  # with ``fold_all``
-                    found = [(HOLE + holes.setdefault(w, len(holes))).to_bytes(4, "little") if x is None else x for w, x in zip(splitter.words(unit), found, strict=True)]
-                    return b"".join(found)
-                ids = b"".join(found)
-                if len(self) < CACHED_UNITS:
-                    self[unit] = ids
-                return ids
-
-        cached, holes = Units(), {}
-
-        def of(text: str) -> tuple[bytes, list[bytes]]:
-            holes.clear()
-            return b"".join(map(cached.__getitem__, splitter.units(text))), list(holes)
+        words, all_ranks = shared.value[0], kept_in_worker(f"ranks:{key}", lambda: Ranks(shared.value[1]))
+
+        cached: dict[str, bytes] = {}
+
+        def opened_units(units: set[str]) -> tuple[dict[str, bytes], dict[str, list[bytes]]]:
+            """Ids of units not met before; with ``fold_all`` the words of those that hold an unknown one."""
+            split = {unit: splitter.words(unit) for unit in units}
+            rare = [w for w in {w for own in split.values() for w in own} if w not in words]
+            short = [w for w in rare if len(w) <= long]
+            made = {w: np.array(merge_long(w, all_ranks), "<u4").tobytes() for w in rare if len(w) > long}
+            if not fold_all:
+                made |= zip(short, all_ranks.merge_many(short), strict=True)
+            ids, open_ = {}, {}
+            for unit, own in split.items():
+                parts = [words[w] if w in words else made.get(w) for w in own]
+                if None in parts:
+                    open_[unit] = own
+                else:
+                    ids[unit] = b"".join(parts)
+            for unit, x in ids.items():
+                if len(cached) >= CACHED_UNITS:
+                    break
+                cached[unit] = x
+            for w in made.keys() & {w for own in open_.values() for w in own}:
+                open_words[w] = made[w]
+            return ids, open_
+
+        open_words: dict[bytes, bytes] = {}
+
+        def hole(word: bytes, holes: dict[bytes, int]) -> bytes:
+            own = words.get(word) or open_words.get(word)
+            return (HOLE + holes.setdefault(word, len(holes))).to_bytes(4, "little") if own is None else own
+
+        def encoded(texts: list[bytes]) -> list[tuple[bytes, list[bytes]]]:
+            split = [splitter.units(t.decode()) for t in texts]
+            new, open_ = opened_units({u for units in split for u in units if u not in cached})
+            found = []
+            for units in split:
+                holes: dict[bytes, int] = {}
+                parts = [cached.get(u) for u in units]
+                if None in parts:
+                    parts = [p if p is not None else new[u] if u in new else b"".join(hole(w, holes) for w in open_[u]) for u, p in zip(units, parts, strict=True)]
+                found.append((b"".join(parts), list(holes)))
+            return found
 
         for part, texts in sliced(batches, "text"):
-            found = [of(t.decode()) for t in texts]
+            found = [x for at in range(0, len(texts), 512) for x in encoded(texts[at : at + 512])]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.list_(pa.binary()))], names=["doc_id", "ids", "holes"])
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,8 @@ beyond that, windows of documents and benchmark meet in a shuffle. Both ways ver
 from __future__ import annotations
 
 import re
+import sys
+import types
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,9 +67,30 @@ class Canon(dict):
     """Template tokens; what a run of non-blank signs is, without its place in a sentence, is remembered."""
 
     def __init__(self):
-        self.about = np.zeros(1 << 12, [("kind", np.int8), ("hash", np.uint64), ("capital", bool), ("ends", bool), ("sign", bool)])
+        self.kinds, self.hashes = np.zeros(1 << 12, np.int8), np.zeros(1 << 12, np.uint64)
+        self.flags = np.zeros((3, 1 << 12), bool)  # a capital begins it, a sentence ends with it, it is a sign of calculation
 
     def __missing__(self, run: bytes) -> int:
+        bare = run.rstrip(b".,;:!?")
+        if bare.isalpha():  # letters A-Z only, then perhaps punctuation
+            name, ends, sign = bare.lower(), run[-1:] in b".!?:;", False
+            lower = name.decode()
+            kind = NUMBER if lower in NUMBERS else UNIT if lower in UNITS else LITERAL
+            capital = kind == LITERAL and bare[:1].isupper() and not (len(bare) > 1 and bare.isupper())
+        else:
+            kind, name, capital, ends, sign = self.classed(run)
+        at = len(self)
+        if at == len(self.kinds):
+            self.kinds, self.hashes = np.r_[self.kinds, self.kinds * 0], np.r_[self.hashes, self.hashes * np.uint64(0)]
+            self.flags = np.concatenate([self.flags, np.zeros_like(self.flags)], axis=1)
+        self.kinds[at], self.hashes[at] = kind, xxhash.xxh64_intdigest(name)
+        self.flags[:, at] = capital, ends, sign
+        self[run] = at
+        return at
+
+    @staticmethod
+    def classed(run: bytes) -> tuple[int, str, bool, bool, bool]:
+        """Kind, what is hashed, and the flags of any run."""
         text = run.decode()
         bare = _EDGE.sub("", text)
         lower = bare.lower()
@@ -82,23 +106,17 @@ class Canon(dict):
             kind = LITERAL
         if kind == NUMBER and _NUMBER.fullmatch(bare):
             lower = lower.replace(",", "").rstrip(".:/")
-        at = len(self)
-        if at == len(self.about):
-            self.about = np.concatenate([self.about, np.zeros_like(self.about)])
         capital = kind == LITERAL and bare[:1].isupper() and not (len(bare) > 1 and bare.isupper())
         ends = run == b"\x00" or text.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":", ";", "…")
         sign = kind == NOTHING and _SIGN.search(text) is not None
-        self.about[at] = kind, xxhash.xxh64_intdigest(text if sign else lower), capital, ends, sign
-        self[run] = at
-        return at
+        return kind, text if sign else lower, capital, ends, sign
 
     def tokens(self, text: bytes) -> Tokens:
         if len(self) > CACHED_WORDS:
             self.clear()
         runs = text.replace(b"\x00", b" ").replace(b"\n", b" \x00 ").split()
         at = np.fromiter(map(self.__getitem__, runs), np.int64, len(runs))
-        about = self.about[at]
-        kinds, hashes, named, ends = about["kind"].copy(), about["hash"], about["capital"].copy(), about["ends"]
+        kinds, hashes, named, ends = self.kinds[at], self.hashes[at], self.flags[0][at], self.flags[1][at]
         if len(at):
             named[0] = False
             named[1:] &= ~ends[:-1]  # a capital that opens a sentence says nothing
@@ -106,7 +124,7 @@ class Canon(dict):
         keep = kinds != NOTHING
         exact, word = hashes, keep
         if not keep.all():
-            stays = keep | about["sign"]
+            stays = keep | self.flags[2][at]
             exact, word = hashes[stays], keep[stays]
         kinds, hashes = kinds[keep], hashes[keep]
         follows = np.zeros(len(kinds), bool)
@@ -139,6 +157,15 @@ class Templates:
         return self.rolling.runs(self.rolling.prefix(tokens.exact), width) + np.uint64(width)
 
 
+def templates_of_worker(width: int) -> Templates:
+    """The token cache of this Python worker, kept from task to task."""
+    kept = sys.modules.setdefault("_cohortspark_templates", types.ModuleType("_cohortspark_templates")).__dict__
+    name = str(width)
+    if name not in kept:
+        kept[name] = Templates(width)
+    return kept[name]
+
+
 @dataclass
 class Match:
     coverage: float
@@ -303,11 +330,11 @@ def find(
     cover (0.8 at least), or of its words where template windows alone don't reach that and exact windows help;
     ``exact`` whether all slots have the item's own values. Items shorter than a window are one window; items of
     fewer than three words, null texts and rows without an id are never matched.
-    Repeated rows are matched each for itself; empty tables give no rows.
+    Repeated documents are matched each for itself, a repeated row of the benchmark once; empty tables give no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("tk"), F.col(text_col).cast("string").alias("text"))
     rows = rows.where("doc_id is not null and text is not null")
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("item_text")).where("item_id is not null and item_text is not null")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("item_text")).where("item_id is not null and item_text is not null").dropDuplicates()
     # an item has at most as many windows as blanks and one more
     size = items.agg(F.coalesce(F.sum(F.length("item_text") - F.length(F.regexp_replace("item_text", "[ \t\r\n]+", ""))) + F.count("*"), F.lit(0))).first()[0]
     if size <= index_rows:
@@ -317,12 +344,13 @@ def find(
 
 
 def _search(rows: DataFrame, index: Index, width: int) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(index)  # of a counted size
+    # of a counted size; by value, as executors may have no copy of this package
+    shared = rows.sparkSession.sparkContext.broadcast(cloudpickle.dumps(index))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = Templates(width)
+        tool, own = templates_of_worker(width), cloudpickle.loads(shared.value)
         for part, texts in sliced(batches, "text"):
-            yield _batch([row for doc_id, tk, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, strict=True) for row in _rows(doc_id, tk, shared.value.search(tool, text))])
+            yield _batch([row for doc_id, tk, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, strict=True) for row in _rows(doc_id, tk, own.search(tool, text))])
 
     return rows.mapInArrow(run, FOUND)
 
@@ -332,7 +360,7 @@ def _shuffled(rows: DataFrame, items: DataFrame, width: int) -> DataFrame:
 
     def hashed(df: DataFrame, text: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tool = Templates(width)
+            tool = templates_of_worker(width)
             for part, texts in sliced(batches, text):
                 found = []
                 for t in texts:
@@ -347,7 +375,7 @@ def _shuffled(rows: DataFrame, items: DataFrame, width: int) -> DataFrame:
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """An item's windows with the template tokens and the words that all windows of the hash can cover."""
-        tool = Templates(width)
+        tool = templates_of_worker(width)
         for part, texts in sliced(batches, "item_text"):
             rows = []
             for item, t in zip(part.column(0).to_pylist(), texts, strict=True):
@@ -379,7 +407,7 @@ def _shuffled(rows: DataFrame, items: DataFrame, width: int) -> DataFrame:
     joined = pairs.join(items.dropDuplicates(["item"]), "item").join(rows, ["doc_id", "tk"]).select("doc_id", "tk", "item_id", "item_text", "text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = Templates(width)
+        tool = templates_of_worker(width)
         for part, texts in sliced(batches, "text"):
             found = []
             for doc_id, tk, item_id, item, text in zip(*(part.column(i).to_pylist() for i in range(4)), texts, strict=True):

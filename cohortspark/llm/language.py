@@ -7,7 +7,7 @@ penalised likelihood is kept. The model is counted on a bounded sample of labell
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,8 +60,12 @@ class Model:
 
     def mixture(self, text: bytes) -> tuple[str, float, dict[str, float]]:
         """The main language, its score, and the proportions of the languages chosen."""
+        return self.fitted(text)[:3]
+
+    def fitted(self, text: bytes) -> tuple[str, float, dict[str, float], float]:
+        """The same, and by how much the mixture explains an n-gram of the text better than chance (mean log ratio)."""
         if not self.languages or not has_letter(text):
-            return UNKNOWN, 0.0, {}
+            return UNKNOWN, 0.0, {}, 0.0
         found, counts = np.unique(cells(text), return_counts=True)
         chances = self.chances[found].astype(np.float64)
         total = counts.sum()
@@ -86,7 +90,7 @@ class Model:
         main = int(np.argmax(proportions))
         weight = np.exp((alone - alone.max()) / len(SIZES))
         sure = weight[chosen[main]] / weight.sum() if len(chosen) == 1 else 1.0
-        return self.languages[chosen[main]], float(min(1.0, proportions[main] * sure)), {self.languages[i]: float(p) for i, p in zip(chosen, proportions, strict=True)}
+        return self.languages[chosen[main]], float(min(1.0, proportions[main] * sure)), {self.languages[i]: float(p) for i, p in zip(chosen, proportions, strict=True)}, float(counts @ np.log(chances[:, chosen] @ proportions) / total + np.log(CELLS))
 
 
 def em(chances: np.ndarray, counts: np.ndarray, shares: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
@@ -141,28 +145,42 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def shared_model(spark: SparkSession, model: Model) -> Callable[[], Model]:
+    """The model for tasks: plain names and numbers are sent, as executors may have no copy of this package."""
+    languages, shape = list(model.languages), model.chances.shape
+    shared = spark.sparkContext.broadcast(model.chances.tobytes())  # CELLS x languages x 4 bytes
+    return lambda: Model(languages, np.frombuffer(shared.value, np.float32).reshape(shape))
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, mixture) a row; null texts and texts without a letter are ``und`` with score 0."""
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("mixture", pa.map_(pa.string(), pa.float64()))])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # CELLS x languages x 4 bytes
+    of_worker = shared_model(docs.sparkSession, model)
 
     def make(part: pa.RecordBatch, texts: list[bytes]) -> list:
-        found = [shared.value.mixture(text) for text in texts]
+        own = of_worker()
+        found = [own.mixture(text) for text in texts]
         return [part.column(0), [x[0] for x in found], [x[1] for x in found], [list(x[2].items()) for x in found]]
 
     return per_text(rows, "text", "doc_id long, lang_pred string, score double, mixture map<string,double>", schema, make)
 
 
-def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = 0.3) -> DataFrame:
-    """The documents, all columns, without those whose language is unknown or whose main language is below the score."""
+def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_gain: float = 0.0) -> DataFrame:
+    """The documents, all columns, whose text has a letter and is explained by some mixture of known languages.
+
+    A text is explained if its n-grams are likelier under its mixture than by chance (``least_gain``, mean log
+    ratio), however many languages share it. Without a labelled row no language is known, and every text with a
+    letter stays. Null, empty and blank texts go; repeated rows and rows without an id are judged each for itself.
+    """
     model = fit(training_rows(docs, id_col, text_col, lang_col))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    of_worker = shared_model(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = of_worker()
         for part, texts in sliced(batches, text_col):
-            found = [shared.value.mixture(text) for text in texts]
-            yield part.filter(pa.array([bool(x[0] != UNKNOWN and x[1] >= least_score) for x in found], pa.bool_()))
+            kept = [has_letter(text) and (not own.languages or own.fitted(text)[3] >= least_gain) for text in texts]
+            yield part.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
