@@ -40,19 +40,14 @@ def order_statistics(
     keys: list[str],
     value: str,
     targets: Callable[[Column], Column],
-    few_groups: bool = False,
 ) -> DataFrame:
     """Values at wanted ranks of each group of a numeric column.
 
     ``targets`` maps the group's count of non-missing values to an array of
     structs with a 0-based ``rank`` and any further fields. Returns the keys,
     the struct fields, the value, its ``offset`` (the rank counted within the
-    rows of that value) and ``ties`` (the number of those rows).
-
-    ``few_groups`` states that the groups are bounded by the caller (a fixed
-    set of labels, a list of columns): their brackets, a few numbers per group,
-    are then broadcast and the rows stay where they are. Otherwise the planner
-    decides by measured size.
+    rows of that value) and ``ties`` (the number of those rows). The brackets,
+    a few numbers per group, are stored, so that the planner knows their size.
     """
     v, n = F.col(value), F.col("__n")
     sketch = (
@@ -84,9 +79,7 @@ def order_statistics(
             F.coalesce(high, "__max").alias("high"),
         )
 
-    brackets = sketch.select(*keys, F.transform(targets(n), bracket).alias("__brackets"))
-    if few_groups:
-        brackets = F.broadcast(brackets)
+    brackets = materialize(sketch.select(*keys, F.transform(targets(n), bracket).alias("__brackets")))
     inside = null_safe_join(rows.filter(v.isNotNull()), brackets, keys).select(
         *keys, value, F.inline("__brackets")
     )
@@ -193,10 +186,54 @@ def scalar_percentiles(df: DataFrame, variable: str, probs: list[float]) -> Data
 
 
 def _tie_key(df: DataFrame, tiebreak: str) -> Column:
-    """Whole-number ids order themselves; others are ordered by a hash a double holds exactly."""
+    """Whole-number ids order themselves; all others are ordered as texts, a missing one first."""
     if isinstance(df.schema[tiebreak].dataType, T.IntegralType):
         return F.col(tiebreak).cast("bigint")
-    return F.shiftright(F.xxhash64(tiebreak), 10)
+    return F.coalesce(F.col(tiebreak).cast("string"), F.lit(""))
+
+
+#: Bytes of a text that a whole number holds in order.
+_CHUNK = 7
+
+
+def _chunk(text: Column, k: int) -> Column:
+    """The k-th run of ``_CHUNK`` bytes of a text as a number, in the texts' order; a text that has ended comes first."""
+    part = F.hex(F.substring(text.cast("binary"), _CHUNK * k + 1, _CHUNK))
+    # the length tells a text that has ended from one that goes on with zero bytes
+    return F.conv(F.rpad(part, 2 * _CHUNK, "0"), 16, 10).cast("bigint") * (_CHUNK + 1) + F.shiftright(F.length(part), 1)
+
+
+def _ranked_texts(tied: DataFrame, group: list[str], text: str, wanted: list[tuple]) -> dict[tuple, str]:
+    """The texts at wanted ranks of each group, ``(*group values, rank)``; by narrowing, a few bytes a round.
+
+    A round finds the next bytes of every wanted text as order statistics of whole numbers, and goes on with the
+    texts that begin so. As many rounds as the longest wanted text has runs of bytes.
+    """
+    spark, found = tied.sparkSession, {}
+    # (group..., beginning so far) -> [(rank inside, rank wanted)]
+    open_ = {}
+    for *own, rank in wanted:
+        open_.setdefault((*own, ""), []).append((rank, rank))
+    fields = [f"`{g}` {tied.schema[g].dataType.simpleString()}" for g in group]
+    k = 0
+    while open_:
+        rows = [(*state, ranks) for state, ranks in open_.items()]
+        states = spark.createDataFrame(rows, ", ".join([*fields, "__begin string", "__places array<struct<rank: bigint, wanted: bigint>>"]))
+        begin = F.hex(F.substring(F.col(text).cast("binary"), 1, _CHUNK * k)) if k else F.lit("")
+        narrowed = tied.withColumn("__begin", begin).join(F.broadcast(states), [*group, "__begin"]).withColumn("__next", _chunk(F.col(text), k).cast("bigint"))
+        keys = [*group, "__begin", "__places"]
+        hits = order_statistics(narrowed, keys, "__next", lambda _n: F.col("__places")).collect()
+        open_ = {}
+        for hit in hits:
+            own = tuple(hit[g] for g in group)
+            number, length = divmod(hit["__next"], _CHUNK + 1)
+            begin_hex = hit["__begin"] + f"{number:0{2 * _CHUNK}X}"[: 2 * length]
+            if length < _CHUNK:
+                found[(*own, hit["wanted"])] = bytes.fromhex(begin_hex).decode()
+            else:
+                open_.setdefault((*own, begin_hex), []).append((hit["offset"], hit["wanted"]))
+        k += 1
+    return found
 
 
 def ntile_borders(df: DataFrame, sources: list[str], tiebreak: str, n: int = 4) -> dict[str, list[tuple]]:
@@ -214,17 +251,20 @@ def ntile_borders(df: DataFrame, sources: list[str], tiebreak: str, n: int = 4)
         every = F.array(*[F.struct(r.alias("rank"), F.lit(k).alias("k")) for k, r in enumerate(ranks)])
         return F.filter(every, lambda t: t["rank"] < count)
 
-    edges = order_statistics(rows, ["source"], "value", starts, few_groups=True).collect()
+    edges = order_statistics(rows, ["source"], "value", starts).collect()
     split = sorted({(e["source"], e["value"], e["offset"]) for e in edges if e["offset"] > 0})
-    keys: dict[tuple, int] = {}
+    keys: dict[tuple, object] = {}
     if split:
         # Rows that tie with an edge value, and the wanted places among them.
         wanted = df.sparkSession.createDataFrame(split, "source string, value double, rank bigint")
         places = wanted.groupBy("source", "value").agg(F.collect_list(F.struct("rank")).alias("__places"))
-        tied = rows.join(F.broadcast(places), ["source", "value"])
-        group = ["source", "value", "__places"]
-        for hit in order_statistics(tied, group, "__key", lambda _n: F.col("__places"), few_groups=True).collect():
-            keys[hit["source"], hit["value"], hit["rank"]] = hit["__key"]
+        tied = rows.join(F.broadcast(places), ["source", "value"])  # at most n - 1 rows a column
+        if isinstance(rows.schema["__key"].dataType, T.StringType):
+            keys = _ranked_texts(tied.drop("__places"), ["source", "value"], "__key", split)
+        else:
+            group = ["source", "value", "__places"]
+            for hit in order_statistics(tied, group, "__key", lambda _n: F.col("__places")).collect():
+                keys[hit["source"], hit["value"], hit["rank"]] = hit["__key"]
     borders: dict[str, list[tuple]] = {source: [] for source in sources}
     for e in sorted(edges, key=lambda e: e["k"]):
         borders[e["source"]].append((e["value"], keys.get((e["source"], e["value"], e["offset"]))))

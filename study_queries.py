@@ -1087,6 +1087,92 @@ def _(spark, sf):
     return out.select("term", "estimate", F.col("`std.error`").alias("std_error"), "model_n")
 
 
+def adjusted_sql(outcome: str, logistic: bool, steps: int = 12) -> str:
+    """The study's adjusted model in SQL: normal equations as lists, solved pivot by pivot; Newton steps if logistic.
+
+    Gives estimates and standard errors. Age and year are centred, which the intercept's row undoes.
+    """
+    numeric, centers = outcome_models.NUMERIC, [0, 60, 1996]
+    factors = outcome_models.FACTORS
+    pivot = "cast(q[1][1] as int)"
+    cleared = (
+        f"list_transform(range(1, len(m) + 1), lambda i: case when i = {pivot} then list_transform(m[{pivot}], lambda v: v / m[{pivot}][{pivot}]) "
+        f"else list_transform(range(1, len(m[i]) + 1), lambda j: m[i][j] - m[i][{pivot}] * m[{pivot}][j] / m[{pivot}][{pivot}]) end)"
+    )
+
+    def solved(matrix: str) -> str:
+        """Gauss-Jordan on a list of rows; what stands right of the square part is the solution."""
+        return f"list_reduce(list_prepend({matrix}, list_transform(range(1, len({matrix}) + 1), lambda k: [[cast(k as double)]])), lambda m, q: {cleared})"
+
+    def square(weights: str, score: str, source: str) -> str:
+        """(m): the information matrix with the score as a last column."""
+        return (
+            f"select list(row order by i) as m from (select i, list_append(list(v order by j), max(g)) as row from (select i, j, sum({weights} * x[i] * x[j]) as v, "
+            f"sum({score} * x[i]) as g from {source}, places p1(i), places p2(j) group by i, j) e group by i) r"
+        )
+
+    levels = ", ".join(f"(select list(distinct {f} order by {f})[2:] from d) as l{k}" for k, f in enumerate(factors))
+    dummies = ", ".join(f"list_transform(l{k}, lambda v: cast({f} = v as double))" for k, f in enumerate(factors))
+    names = ", ".join(f"list_transform(l{k}, lambda v: '{f}' || v)" for k, f in enumerate(factors))
+    whole = "'(Intercept)', " + ", ".join(f"'{c}'" for c in numeric)
+    xs = "cast(1 as double), " + ", ".join(f"cast({c} - {m} as double)" for c, m in zip(numeric, centers, strict=True))
+    ctes = [
+        f"d as materialized (select cast({outcome} as double) as y, cast(probable_checkpoint_irae_icu = 1 as int) as {outcome_models.EXPOSURE}, age_at_admission, icu_year, "
+        + ", ".join(f"coalesce({f}, 'missing') as {f}" for f in factors)
+        + f" from ana where {outcome} is not null and probable_checkpoint_irae_icu is not null and age_at_admission is not null and icu_year is not null)",
+        f"l as materialized (select {levels})",
+        f"pat as materialized (select x, cast(count(*) as double) as n, sum(y) as s, sum(y * y) as ss from (select y, flatten([[{xs}], {dummies}]) as x from d, l) r group by x)",
+        "places as materialized (select unnest(range(1, (select len(x) from pat limit 1) + 1)) as i)",
+    ]
+    if logistic:
+        ctes.append("b0 as materialized (select list_transform(x, lambda v: cast(0 as double)) as b from pat limit 1)")
+        for k in range(steps + 1):
+            ctes.append(f"e{k} as materialized (select x, n, s, 1 / (1 + exp(-list_inner_product(x, b))) as p from pat, b{k})")
+            ctes.append(f"h{k} as materialized ({square('n * p * (1 - p)', '(s - n * p)', f'e{k}')})")
+            if k < steps:
+                ctes.append(f"v{k} as materialized (select {solved('m')} as m from h{k})")
+                ctes.append(f"b{k + 1} as materialized (select list_transform(range(1, len(b) + 1), lambda i: b[i] + m[i][-1]) as b from b{k}, v{k})")
+        last, scale = f"b{steps}", "select cast(1 as double) as s2"
+        matrix = f"h{steps}"
+    else:
+        ctes.append(f"h as materialized ({square('n', 's', 'pat')})")
+        ctes.append(f"v as materialized (select {solved('m')} as m from h)")
+        ctes.append("b as materialized (select list_transform(m, lambda r: r[-1]) as b from v)")
+        last, matrix = "b", "h"
+        scale = "select sum(ss - 2 * s * list_inner_product(x, b) + n * list_inner_product(x, b) ** 2) / (sum(n) - max(len(x))) as s2 from pat, b"
+    identity = "list_transform(range(1, len(m) + 1), lambda i: list_concat(m[i][:-2], list_transform(range(1, len(m) + 1), lambda j: cast(i = j as double))))"
+    ctes += [
+        f"w as materialized (select {identity} as m from {matrix})",
+        f"inverse as materialized (select list_transform({solved('m')}, lambda r: r[len(r) // 2 + 1:]) as c from w)",
+        f"scale as ({scale})",
+        f"names as (select flatten([[{whole}], {names}]) as t from l)",
+        f"shift as (select [1, {', '.join(str(-m) for m in centers)}] as a)",
+    ]
+    back = f"range(1, {len(centers) + 2})"
+    estimate = f"case when i = 1 then list_sum(list_transform({back}, lambda k: a[k] * b[k])) else b[i] end"
+    variance = f"case when i = 1 then list_sum(flatten(list_transform({back}, lambda k: list_transform({back}, lambda h: a[k] * a[h] * c[k][h])))) else c[i][i] end"
+    return (
+        f"with {', '.join(ctes)} select t[i] as term, {estimate} as estimate, sqrt(s2 * {variance}) as std_error, (select count(*) from d) as model_n "
+        f"from places, {last}, inverse, scale, names, shift"
+    )
+
+
+def _adjusted(outcome: str, logistic: bool) -> None:
+    @register(f"adjusted_{outcome}", adjusted_sql(outcome, logistic), ["estimate", "std_error"])
+    def _(spark, sf):
+        """Estimates and standard errors of an adjusted model, which its limits and p-values rest on."""
+        data = analysis_table(spark, sf)
+        fit = outcome_models.logistic_model(data, outcome, ci="wald") if logistic else outcome_models.linear_model(data, outcome)
+        out = models.tidy(spark, [(fit, outcome, outcome_models.EXPOSURE)], [False])
+        return out.select("term", "estimate", F.col("`std.error`").alias("std_error"), "model_n")
+
+
+for _outcome in outcome_models.LOGISTIC_OUTCOMES:
+    _adjusted(_outcome, True)
+for _outcome in outcome_models.LINEAR_OUTCOMES:
+    _adjusted(_outcome, False)
+
+
 @register("linear_model")
 def _(spark, sf):
     fit = outcome_models.linear_model(analysis_table(spark, sf), "icu_los_days")
@@ -1150,6 +1236,18 @@ def _(spark, sf):
     )
 
 
+@register(
+    "ntile_quartile_text",
+    "select 'S' || o_orderkey as order_ref, cast(ntile(4) over (order by o_totalprice, 'S' || o_orderkey) as int) as price_q, "
+    "cast(ntile(10) over (order by cast(year(o_orderdate) as double), 'S' || o_orderkey) as int) as year_decile from orders",
+)
+def _(spark, sf):
+    """Tiles with text ids, whose true order breaks the ties."""
+    orders = source(spark, sf, "orders").select(F.concat(F.lit("S"), "o_orderkey").alias("order_ref"), "o_totalprice", F.year("o_orderdate").alias("y"))
+    quarters = quantiles.add_ntiles(orders, {"price_q": "o_totalprice"}, "order_ref", 4)
+    return quantiles.add_ntiles(quarters, {"year_decile": "y"}, "order_ref", 10).select("order_ref", "price_q", "year_decile")
+
+
 def _from_linked(name: str, fn, sql: str, floats: list[str] | None = None, quartiles: bool = True):
     @register(name, sql, floats)
     def _(spark, sf):

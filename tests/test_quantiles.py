@@ -41,6 +41,16 @@ def test_ntiles_with_text_ids_are_balanced_and_ordered(spark):
     assert all(max(r.v for r in got if r.q == t) <= min(r.v for r in got if r.q == t + 1) for t in (1, 2, 3))
 
 
+def test_ntiles_with_text_ids_in_their_true_order(spark):
+    rng = random.Random(4)
+    ids = {"", "a", "a\x00", "aaaaaaa", "aaaaaaab", "aaaaaaa\x00", "é", "éa", "日本語の名前", "Z" * 40, "Z" * 40 + "a"}
+    while len(ids) < 400:
+        ids.add("".join(rng.choices("ab\x00é9", k=rng.randint(1, 20))))
+    rows = [(i, float(rng.choice([1, 1, 1, 1, 2]))) for i in sorted(ids, key=lambda _: rng.random())]
+    got = {r.id: r.q for r in quantiles.add_ntiles(spark.createDataFrame(rows, "id string, v double"), {"q": "v"}, "id", 5).collect()}
+    assert got == {i.decode(): t for i, t in ntile_by_hand([(i.encode(), v) for i, v in rows], 5).items()}
+
+
 @pytest.mark.parametrize("size, kind", [(1, "ties"), (5, "ties"), (20000, "ties"), (20000, "normal"), (20000, "heavy")])
 def test_percentiles_match_numpy(spark, size, kind):
     rng = np.random.default_rng(size)
