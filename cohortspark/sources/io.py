@@ -6,6 +6,7 @@ import json
 import os
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterable, Mapping
 
 from pyspark.errors import AnalysisException
@@ -128,6 +129,38 @@ def save_cohort_tables(tables: Mapping[str, DataFrame], directory: str) -> dict[
     return {name: write_table(df, f"{directory}/{name}_cohort") for name, df in tables.items()}
 
 
+def save_laid_out(tables: Mapping[str, DataFrame], directory: str, key: str = "hospitalization_id", buckets: int = 64) -> dict[str, DataFrame]:
+    """The tables written in buckets of the key, sorted within, and opened again as tables that know so.
+
+    Joins on the key and aggregates by it then need no exchange, in this session and, through ``open_laid_out``, in
+    later ones. A key lies in one bucket as a whole: choose it so that none is very frequent.
+    """
+    opened = {}
+    for name, df in tables.items():
+        df.repartition(buckets, key).write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key).option(
+            "path", f"{directory}/{name}_cohort"
+        ).saveAsTable(_laid_out_name(directory, name))
+        opened[name] = df.sparkSession.table(_laid_out_name(directory, name))
+    return opened
+
+
+def open_laid_out(spark: SparkSession, directory: str, names: Iterable[str], key: str = "hospitalization_id", buckets: int = 64) -> dict[str, DataFrame]:
+    """Tables that ``save_laid_out`` wrote with the same key and number of buckets, perhaps in another session."""
+    opened = {}
+    for name in names:
+        path, table = f"{directory}/{name}_cohort", _laid_out_name(directory, name)
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+        spark.sql(
+            f"create table if not exists {table} ({columns}) using parquet clustered by (`{key}`) sorted by (`{key}`) into {buckets} buckets location '{path}'"
+        )
+        opened[name] = spark.table(table)
+    return opened
+
+
+def _laid_out_name(directory: str, name: str) -> str:
+    return f"{name}_cohort_{zlib.crc32(directory.encode()):08x}"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 

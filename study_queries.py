@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -261,6 +262,21 @@ def _(spark, sf):
     return reduce(DataFrame.unionAll, parts)
 
 
+@register(
+    "laid_out_join",
+    "select v.hospitalization_id, n_vitals, n_labs from (select hospitalization_id, count(*) as n_vitals from vitals where hospitalization_id "
+    "in (select hospitalization_id from broad) group by 1) v join (select hospitalization_id, count(*) as n_labs from labs group by 1) l using (hospitalization_id)",
+)
+def _(spark, sf):
+    """Two tables saved in buckets of the admission, read back and joined where they lie."""
+    ids = io.materialize(broad(spark, sf).select("hospitalization_id"))
+    kept = {n: inpatient.semi_filter(spark_view(spark, sf, n), ids) for n in ("vitals", "labs")}
+    folder = f"{io.shared_dir(spark)}/cohortspark/laid-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    saved = io.save_laid_out(kept, folder, buckets=16)
+    counts = [saved[n].groupBy("hospitalization_id").agg(F.count(F.lit(1)).alias(f"n_{n}")) for n in ("vitals", "labs")]
+    return counts[0].join(counts[1], "hospitalization_id")
+
+
 @register(
     "exposure_lookup",
     "select county_code, icu_year, pm25_annual, pm25_filled_2024 from pm25",

@@ -80,3 +80,21 @@ def test_replace_outliers(spark):
     assert got == sorted([("a", 5.0), ("a", None), ("a", 0.0), ("z", None), (None, None), ("a", None)], key=str)
     kept = sorted(map(tuple, outliers.replace_outliers(df, limits, "c", "v", keep_unruled=True).collect()), key=str)
     assert kept == sorted([("a", 5.0), ("a", None), ("a", 0.0), ("z", 1.0), (None, 1.0), ("a", None)], key=str)
+
+
+def test_laid_out_tables_join_without_an_exchange(spark, tmp_path):
+    left = spark.createDataFrame([(i % 50, i) for i in range(500)], "hospitalization_id bigint, a int")
+    right = spark.createDataFrame([(i, str(i)) for i in range(60)] + [(None, "x")], "hospitalization_id bigint, b string")
+    folder = str(tmp_path / "laid")
+    saved = io.save_laid_out({"left": left, "right": right}, folder, buckets=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for tables in (saved, io.open_laid_out(spark, folder, ["left", "right"], buckets=4)):
+            joined = tables["left"].join(tables["right"], "hospitalization_id")
+            counted = joined.groupBy("hospitalization_id").count()
+            assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+            assert joined.count() == 500 and counted.count() == 50
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for table in {t.name for t in spark.catalog.listTables() if t.name.startswith(("left_cohort", "right_cohort"))}:
+            spark.sql(f"drop table {table}")
