@@ -337,13 +337,13 @@ WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), {_SIGNS}), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
 ), worded AS (
   SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]'), lambda x: x <> '') AS w FROM pieces
-), placed AS (
-  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded
-), counted AS (
-  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, min(w[i:i + k - 1]) AS words, count(*) AS f
-  FROM placed, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w) GROUP BY ALL
+), phrases AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM worded, (SELECT unnest([1, 2, 3, 4]) AS k)
+), counted AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS f FROM phrases GROUP BY ALL
 ), totals AS (SELECT lang, sum(f) AS n FROM counted WHERE k = 1 GROUP BY lang
-), candidates AS (SELECT * FROM counted WHERE k > 1 AND f >= 30
+), candidates AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS words FROM counted WHERE k > 1 AND f >= 30
 ), inside AS (
   SELECT c.lang, array_to_string(c.words[s:s + m - 1], ' ') AS phrase, max(c.f) AS most
   FROM candidates c, (SELECT unnest([2, 3]) AS m), (SELECT unnest([1, 2, 3]) AS s) WHERE m < c.k AND s + m - 1 <= c.k GROUP BY ALL
@@ -351,7 +351,7 @@ WITH pieces AS (
   SELECT c.* FROM candidates c LEFT JOIN inside i ON i.lang = c.lang AND i.phrase = c.phrase WHERE 100 * coalesce(i.most, 0) < 80 * c.f
 ), cuts AS (
   SELECT c.lang, c.phrase, c.f AS a, j, l.f AS l, r.f AS r, (2000000::HUGEINT * c.f) // (l.f + r.f) AS score
-  FROM kept c, (SELECT unnest([1, 2, 3]) AS j)
+  FROM kept c CROSS JOIN (SELECT unnest([1, 2, 3]) AS j) x
   JOIN counted l ON l.lang = c.lang AND l.phrase = array_to_string(c.words[1:j], ' ')
   JOIN counted r ON r.lang = c.lang AND r.phrase = array_to_string(c.words[j + 1:c.k], ' ')
   WHERE j < c.k

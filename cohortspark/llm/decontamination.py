@@ -63,30 +63,26 @@ class Tokens:
     owner: np.ndarray
 
 
+def packed(kind: int, name: str, capital: bool, ends: bool, sign: bool) -> int:
+    """The 58 upper bits of a name's hash, and in the lower ones the kind and what is said of the run."""
+    return (xxhash.xxh64_intdigest(name) & ~63) | kind | capital << 3 | ends << 4 | sign << 5
+
+
 class Canon(dict):
     """Template tokens; what a run of non-blank signs is, without its place in a sentence, is remembered."""
 
-    def __init__(self):
-        self.kinds, self.hashes = np.zeros(1 << 12, np.int8), np.zeros(1 << 12, np.uint64)
-        self.flags = np.zeros((3, 1 << 12), bool)  # a capital begins it, a sentence ends with it, it is a sign of calculation
-
     def __missing__(self, run: bytes) -> int:
-        bare = run.rstrip(b".,;:!?")
-        if bare.isalpha():  # letters A-Z only, then perhaps punctuation
-            name, ends, sign = bare.lower(), run[-1:] in b".!?:;", False
-            lower = name.decode()
-            kind = NUMBER if lower in NUMBERS else UNIT if lower in UNITS else LITERAL
+        text = run.decode()
+        bare = text.rstrip(".,;:!?")
+        if bare.isalpha():  # letters, then perhaps punctuation
+            name = bare.lower()
+            kind = NUMBER if name in NUMBERS else UNIT if name in UNITS else LITERAL
             capital = kind == LITERAL and bare[:1].isupper() and not (len(bare) > 1 and bare.isupper())
+            made = packed(kind, name, capital, text[-1] in ".!?:;", False)
         else:
-            kind, name, capital, ends, sign = self.classed(run)
-        at = len(self)
-        if at == len(self.kinds):
-            self.kinds, self.hashes = np.r_[self.kinds, self.kinds * 0], np.r_[self.hashes, self.hashes * np.uint64(0)]
-            self.flags = np.concatenate([self.flags, np.zeros_like(self.flags)], axis=1)
-        self.kinds[at], self.hashes[at] = kind, xxhash.xxh64_intdigest(name)
-        self.flags[:, at] = capital, ends, sign
-        self[run] = at
-        return at
+            made = packed(*self.classed(run))
+        self[run] = made
+        return made
 
     @staticmethod
     def classed(run: bytes) -> tuple[int, str, bool, bool, bool]:
@@ -115,16 +111,17 @@ class Canon(dict):
         if len(self) > CACHED_WORDS:
             self.clear()
         runs = text.replace(b"\x00", b" ").replace(b"\n", b" \x00 ").split()
-        at = np.fromiter(map(self.__getitem__, runs), np.int64, len(runs))
-        kinds, hashes, named, ends = self.kinds[at], self.hashes[at], self.flags[0][at], self.flags[1][at]
-        if len(at):
+        about = np.fromiter(map(self.__getitem__, runs), np.uint64, len(runs))
+        low = about.astype(np.uint8)
+        kinds, hashes, named, ends = (low & 7).astype(np.int8), about & ~np.uint64(63), (low & 8).astype(bool), (low & 16).astype(bool)
+        if len(about):
             named[0] = False
             named[1:] &= ~ends[:-1]  # a capital that opens a sentence says nothing
         kinds[named] = NAME
         keep = kinds != NOTHING
         exact, word = hashes, keep
         if not keep.all():
-            stays = keep | self.flags[2][at]
+            stays = keep | (low & 32).astype(bool)
             exact, word = hashes[stays], keep[stays]
         kinds, hashes = kinds[keep], hashes[keep]
         follows = np.zeros(len(kinds), bool)

@@ -59,3 +59,18 @@ def test_items_of_numbers_names_and_few_words_are_found_where_copied(spark, inde
     docs = [(i, f"They wrote that {t} and went on with Other things.") for i, t in copied.items()] + list(others.items())
     found = dec.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(copied.items()), "item_id long, text string"), index_rows=index_rows).collect()
     assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i in copied} and all(r.exact and r.coverage >= 0.8 for r in found)
+
+
+def test_repeated_benchmark_rows_match_once_on_both_paths(spark):
+    docs = spark.createDataFrame([(1, "x y z what is the sum of seven and nine apples in a box today a b c")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "what is the sum of seven and nine apples in a box today")] * 2 + [(2, "what is the sum of seven and nine apples in a box today")], "item_id long, text string")
+    for index_rows in (1_000_000, 0):
+        found = dec.find(docs, items, index_rows=index_rows).collect()
+        assert sorted(r.item_id for r in found) == [1, 2]
+
+
+def test_quick_classes_equal_the_full_ones():
+    runs = "one One ONE, km kg. Paris Paris, NASA a I go! end? x: ten. Ten; hours, e.g. it's (see 3.5 $4 Élan été. ß ONE-two".split()
+    canon = dec.Canon()
+    for run in (r.encode() for r in runs):
+        assert canon[run] == dec.packed(*dec.Canon.classed(run))

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortspark.llm import language, toxicity
 
@@ -71,3 +72,15 @@ def test_odd_toxicity(spark, odd, none):
     assert len(rows) == odd.count() and len({r.score for r in rows if r.doc_id in (2, 3, 4)}) == 1
     nothing = toxicity.fit(odd, labels.limit(0))
     assert nothing.weights == {} and toxicity.score(none, nothing).count() == 0
+
+
+def test_mixtures_stay_and_without_labels_all_lettered_texts_stay(spark, docs):
+    by_language = {r.lang: r.text for r in docs.where("lang is not null and length(text) > 300").groupBy("lang").agg(F.first("text").alias("text")).collect()}
+    mixed = "\n".join(text[:300] for text in by_language.values())
+    assert len(by_language) >= 4
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    new = spark.createDataFrame([(10**9, mixed, None, "s", 1), (10**9 + 1, "1234 !!", None, "s", 1), (10**9 + 2, None, None, None, None)], columns)
+    kept = language.keep_known(docs.unionByName(new)).where(F.col("doc_id") >= 10**9).collect()
+    assert [r.doc_id for r in kept] == [10**9]
+    unlabelled = spark.createDataFrame([(1, "some words", None, "s", 1), (2, "...", None, "s", 1), (3, "", None, "s", 1)], columns)
+    assert [r.doc_id for r in language.keep_known(unlabelled).collect()] == [1]
