@@ -7,7 +7,13 @@ to text unless it is whole, and every view covers its whole source table.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cohortspark.operators.windows import hot_parts
+from cohortspark.sources import io
 
 SOURCES = ["nation", "customer", "orders", "lineitem", "documents", "conversations", "events", "labels"]
 
@@ -154,14 +160,38 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: The join that the event views begin with, and the columns they take from it.
+LINED = "{lineitem} join {orders} on l_orderkey = o_orderkey"
+LINED_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_discount", "o_orderdate"]
+#: Lines that one bucket of the stored join holds.
+BUCKET_ROWS = 200_000
+
+
+def stored_lines(spark: SparkSession, sf_dir: str) -> DataFrame | None:
+    """lineitem joined with orders, written once for all views that begin so, in buckets of the order.
+
+    None, and each view joins for itself, if an order has so many lines that its bucket would be too large.
+    """
+    lines, orders = source(spark, sf_dir, "lineitem"), source(spark, sf_dir, "orders")
+    if hot_parts(lines, "l_orderkey"):
+        return None
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(*LINED_COLUMNS)
+    folder = f"{io.shared_dir(spark)}/cohortspark/lines-{uuid.uuid4().hex}"
+    return io.save_laid_out({"lines": joined}, folder, "l_orderkey", io.bucket_count([lines], BUCKET_ROWS))["lines"]
+
+
+def spark_view(spark: SparkSession, sf_dir: str, name: str, lines: DataFrame | None = None) -> DataFrame:
+    """A view; ``lines`` is the stored join, for callers that read several views which begin with it."""
     text = VIEWS[name].replace("{k012}", "explode(array(0, 1, 2))")
+    if lines is not None:
+        text = text.replace(LINED, "{lines}")
     used = {s: source(spark, sf_dir, s) for s in SOURCES if "{" + s + "}" in text}
-    return spark.sql(text, **used)
+    return spark.sql(text, **used, **({"lines": lines} if "{lines}" in text else {}))
 
 
 def study_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {name: spark_view(spark, sf_dir, name) for name in STUDY}
+    lines = stored_lines(spark, sf_dir)
+    return {name: spark_view(spark, sf_dir, name, lines) for name in STUDY}
 
 
 def duckdb_view(name: str) -> str:

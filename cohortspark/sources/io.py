@@ -26,6 +26,8 @@ INPATIENT_STUDY_TABLES = [
     "medication_admin_continuous", "respiratory_support",
 ]
 REQUIRED_TABLES = ["adt", "hospitalization", "hospital_diagnosis"]
+#: Rows that a bucket of a laid-out table holds, and the least number of buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 1_000_000, 8
 
 
 def read_optional(spark: SparkSession, path: str) -> DataFrame | None:
@@ -129,11 +131,17 @@ def save_cohort_tables(tables: Mapping[str, DataFrame], directory: str) -> dict[
     return {name: write_table(df, f"{directory}/{name}_cohort") for name, df in tables.items()}
 
 
+def bucket_count(tables: Iterable[DataFrame], rows: int = BUCKET_ROWS) -> int:
+    """Buckets for tables laid out together, so that none holds more than about ``rows`` rows of the largest."""
+    return max(LEAST_BUCKETS, *[-(-df.count() // rows) for df in tables])
+
+
 def save_laid_out(tables: Mapping[str, DataFrame], directory: str, key: str = "hospitalization_id", buckets: int = 64) -> dict[str, DataFrame]:
     """The tables written in buckets of the key, sorted within, and opened again as tables that know so.
 
     Joins on the key and aggregates by it then need no exchange, in this session and, through ``open_laid_out``, in
     later ones. A key lies in one bucket as a whole: choose it so that none is very frequent.
+    ``bucket_count`` gives a number that grows with the tables, so that a bucket does not.
     """
     opened = {}
     for name, df in tables.items():

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import oracles as o
-from clinical_views import STUDY, source, spark_view, study_tables
+from clinical_views import STUDY, source, spark_view, stored_lines, study_tables
 from cohortspark.functions import scalars as sc
 from cohortspark.operators import anchors, models, outliers, quantiles, summaries, trajectories, windows
 from cohortspark.plans import analysis, burden, exposure, inpatient, note_review, outcome_models, phenotype
@@ -118,9 +118,9 @@ def anchor_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return broad(spark, sf_dir).select("hospitalization_id", "first_icu_in")
 
 
-def broad(spark: SparkSession, sf_dir: str) -> DataFrame:
+def broad(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     return phenotype.cancer_icu_broad(
-        *[spark_view(spark, sf_dir, v) for v in ("hospitalization", "adt", "hospital_diagnosis")]
+        *[spark_view(spark, sf_dir, v, lines) for v in ("hospitalization", "adt", "hospital_diagnosis")]
     )
 
 
@@ -252,8 +252,9 @@ _SAVED = [name for name in STUDY if name != "hospitalization"]
     ),
 )
 def _(spark, sf):
-    ids = io.materialize(broad(spark, sf).select("hospitalization_id"))
-    kept = {n: inpatient.semi_filter(spark_view(spark, sf, n), ids) for n in _SAVED}
+    lines = stored_lines(spark, sf)
+    ids = io.materialize(broad(spark, sf, lines).select("hospitalization_id"))
+    kept = {n: inpatient.semi_filter(spark_view(spark, sf, n, lines), ids) for n in _SAVED}
     folder = f"{io.shared_dir(spark)}/cohortspark/tables-{spark.sparkContext.applicationId}-{sf.replace('/', '_')}"
     parts = [
         spark.read.parquet(path).agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"))
@@ -269,8 +270,9 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """Two tables saved in buckets of the admission, read back and joined where they lie."""
-    ids = io.materialize(broad(spark, sf).select("hospitalization_id"))
-    kept = {n: inpatient.semi_filter(spark_view(spark, sf, n), ids) for n in ("vitals", "labs")}
+    lines = stored_lines(spark, sf)
+    ids = io.materialize(broad(spark, sf, lines).select("hospitalization_id"))
+    kept = {n: inpatient.semi_filter(spark_view(spark, sf, n, lines), ids) for n in ("vitals", "labs")}
     folder = f"{io.shared_dir(spark)}/cohortspark/laid-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     saved = io.save_laid_out(kept, folder, buckets=16)
     counts = [saved[n].groupBy("hospitalization_id").agg(F.count(F.lit(1)).alias(f"n_{n}")) for n in ("vitals", "labs")]
