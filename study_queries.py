@@ -274,7 +274,7 @@ def _(spark, sf):
     ids = io.materialize(broad(spark, sf, lines).select("hospitalization_id"))
     kept = {n: inpatient.semi_filter(spark_view(spark, sf, n, lines), ids) for n in ("vitals", "labs")}
     folder = f"{io.shared_dir(spark)}/cohortspark/laid-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
-    saved = io.save_laid_out(kept, folder, buckets=16)
+    saved = io.save_laid_out(kept, folder, buckets=io.bucket_count(kept.values()))
     counts = [saved[n].groupBy("hospitalization_id").agg(F.count(F.lit(1)).alias(f"n_{n}")) for n in ("vitals", "labs")]
     return counts[0].join(counts[1], "hospitalization_id")
 
