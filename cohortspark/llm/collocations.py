@@ -43,8 +43,11 @@ CELLS = (22, 24, 24, 24)
 CHUNK = 1 << 16
 FULL = 255
 FAN = 256
-BUFFERED = 1 << 20
-CACHED_WORDS = 500_000
+#: Hashes worked on at a time when cells and when grams are counted; words a task remembers, of all languages together.
+SURVEYED, BUFFERED = 1 << 18, 1 << 19
+CACHED_WORDS = 200_000
+#: Rows of a batch that goes back to Spark.
+SENT = 1 << 16
 _GAP, _END = np.uint64(0), np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 # Lower case for A-Z only, every end of a piece as a line feed, a tab as a blank.
@@ -54,11 +57,13 @@ _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\t", b"ab
 class Hashes(dict):
     """64-bit hashes of the words of one language; never 0 or 1, which mark gaps and ends of pieces.
 
-    With ``cells``, words that may be frequent enough are noted in ``fresh`` and always remembered.
+    With ``cells``, words that may be frequent enough are noted in ``fresh`` and always remembered. ``room``, shared
+    by all languages, says how many words may still be remembered.
     """
 
-    def __init__(self, language: str, seed: int, cells: np.ndarray | None, least: int):
+    def __init__(self, language: str, seed: int, cells: np.ndarray | None, least: int, room: list[int]):
         self.language, self.seed, self.cells, self.least = language, xxhash.xxh64_intdigest(language.encode(), seed), cells, least
+        self.room = room
         self.fresh: list[tuple[int, str, bytes]] = []
         self[b""], self[b"\n"] = int(_GAP), int(_END)
 
@@ -67,24 +72,26 @@ class Hashes(dict):
         often = self.cells is not None and self.cells[value >> (64 - CELLS[0])] >= self.least
         if often:
             self.fresh.append((value, self.language, word))
-        if often or len(self) < CACHED_WORDS:
+        if often or self.room[0] > 0:
             self[word] = value
+            self.room[0] -= 1
         return value
 
 
 class Words:
     """Words of texts as hashes, with an end after each piece."""
 
-    def __init__(self, seed: int, cells: np.ndarray | None = None, least: int = FULL):
-        self.seed, self.cells, self.least = seed, cells, least
+    def __init__(self, seed: int, cells: np.ndarray | None = None, least: int = FULL, buffered: int = BUFFERED):
+        self.seed, self.cells, self.least, self.buffered = seed, cells, least, buffered
         self.by_language: dict[str, Hashes] = {}
+        self.room = [CACHED_WORDS]
 
     @staticmethod
     def split(text: bytes) -> list[bytes]:
         return text.translate(_PLAIN).replace(b"\n", b" \n ").split(b" ")
 
     def runs(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, dict[str, int], list]]:
-        """About a million hashes at a time, how many words that were of each language, and the words to be noted."""
+        """About ``buffered`` hashes at a time, how many words that were of each language, and the words to be noted."""
         held, sizes, count = [], {}, 0
 
         def all_held():
@@ -97,17 +104,18 @@ class Words:
         for batch in batches:
             for language, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 if language not in self.by_language:
-                    self.by_language[language] = Hashes(language, self.seed, self.cells, self.least)
+                    self.by_language[language] = Hashes(language, self.seed, self.cells, self.least, self.room)
                 words = self.split(text)
                 own = np.fromiter(map(self.by_language[language].__getitem__, words), np.uint64, len(words))
                 held += [own, np.array([_END])]
                 count += len(own)
                 sizes[language] = sizes.get(language, 0) + int((own > _END).sum())
-                if count >= BUFFERED or len(self.by_language) > 256:
+                if count >= self.buffered or len(self.by_language) > 256:
                     yield all_held()
                     held, sizes, count = [], {}, 0
                     if len(self.by_language) > 256:  # any number of languages, a bounded number remembered
                         self.by_language.clear()
+                        self.room[0] = CACHED_WORDS
         if held:
             yield all_held()
 
@@ -139,15 +147,15 @@ def survey(rows: DataFrame, seed: int) -> list[np.ndarray]:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = [np.zeros(1 << c, np.uint8) for c in CELLS]
-        for hashes, _, _ in Words(seed).runs(batches):
+        for hashes, _, _ in Words(seed, buffered=SURVEYED).runs(batches):
             for own, bits, (gram, within) in zip(cells, CELLS, grams(hashes), strict=True):
                 _added(own, gram[within] >> np.uint64(64 - bits))
-        whole = np.concatenate(cells)
         task = int(_task())
-        for chunk in range(0, len(whole), CHUNK):
-            part = whole[chunk : chunk + CHUNK]
-            if part.any():
-                yield _cells_batch(chunk // CHUNK, task // FAN, part)
+        for start, own in zip(starts, cells, strict=False):
+            for chunk in range(0, len(own), CHUNK):
+                part = own[chunk : chunk + CHUNK]
+                if part.any():
+                    yield _cells_batch((int(start) + chunk) // CHUNK, task // FAN, part)
 
     def merged(group: pa.Table) -> pa.Table:
         total = np.zeros(CHUNK, np.int64)
@@ -204,8 +212,9 @@ def counted_rows(rows: DataFrame, cells: list[np.ndarray], seed: int, least: int
             first = np.nonzero(new)[0]
             n = np.diff(np.r_[first, len(places)])
             columns = [words[k, first].view(np.int64) for k in range(LONGEST)]
-            blank = [None] * len(first)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(n.astype(np.int64)), pa.array(blank, pa.string()), pa.array(blank, pa.binary())], names=["w1", "w2", "w3", "w4", "n", "lang", "word"])
+            whole = pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(n.astype(np.int64)), pa.nulls(len(first), pa.string()), pa.nulls(len(first), pa.binary())], names=["w1", "w2", "w3", "w4", "n", "lang", "word"])
+            for start in range(0, len(first), SENT):
+                yield whole.slice(start, SENT)
             more = [(int(np.uint64(h).view(np.int64)), 0, lang, word) for h, lang, word in fresh] + [(None, size, lang, None) for lang, size in sizes.items()]
             none = pa.array([None] * len(more), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in more], pa.int64()), none, none, none, pa.array([m[1] for m in more], pa.int64()), pa.array([m[2] for m in more], pa.string()), pa.array([m[3] for m in more], pa.binary())], names=["w1", "w2", "w3", "w4", "n", "lang", "word"])

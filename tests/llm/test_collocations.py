@@ -3,6 +3,7 @@ import re
 from collections import Counter
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 
 from cohortspark.llm import collocations
@@ -95,3 +96,23 @@ def test_scores_beyond_64_bits_are_exact(spark):
     graph.edges = make([]).selectExpr("*", "0L as id").where("false")
     row = graph.scored().first()
     assert (row.a, row.l, row.r, row.score) == (big, 3 * big, 2 * big, int(Decimal(2_000_000 * big) // (5 * big)))
+
+
+def test_remembered_words_are_bounded_over_all_languages(monkeypatch):
+    monkeypatch.setattr(collocations, "CACHED_WORDS", 10)
+    words = collocations.Words(1)
+    text = [" ".join(f"{lang}{i}" for i in range(50)) for lang in "abcd"]
+    batch = pa.RecordBatch.from_arrays([pa.array(list("abcd")), pa.array(text)], names=["lang", "text"])
+    (hashes, sizes, _), = words.runs(iter([batch]))
+    assert sizes == dict.fromkeys("abcd", 50) and (hashes > 1).sum() == 200
+    assert sum(len(h) - 2 for h in words.by_language.values()) == 10
+
+
+def test_counted_grams_come_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "SENT", 7)
+    rows = spark.createDataFrame([("en", " ".join(f"w{i % 30}" for i in range(300)))] * 3, "lang string, text string")
+    cells = collocations.survey(rows, 0)
+    got = collocations.counted_rows(rows, cells, 0, 2).where("w1 is not null and word is null")
+    monkeypatch.setattr(collocations, "SENT", 1 << 16)
+    want = collocations.counted_rows(rows, cells, 0, 2).where("w1 is not null and word is null")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
