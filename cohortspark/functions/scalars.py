@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from .semantics import clip_high, clip_low, ratio
 # White space collapsed by "squish", and the first-number pattern.
 WHITE_SPACE = r"[\t\n\f\r\p{Z}]+"
 FIRST_NUMBER = r"-?\d+\.?\d*"
+# Signs one by one are looked up in a table, ranges are tried one after the other for each sign of a text.
+UNCLEAN = f"[^{string.ascii_lowercase}{string.digits}.]+"
 
 # Upper age bound (exclusive) -> label / remaining years.
 AGE_BANDS = [(40, "18-39"), (50, "40-49"), (60, "50-59"), (70, "60-69"), (80, "70-79")]
@@ -49,7 +52,7 @@ def squish(col: Column) -> Column:
 
 def clean_string(col: Column) -> Column:
     """Lower case; every run outside ``a-z 0-9 .`` becomes one space; trimmed."""
-    return F.trim(F.regexp_replace(F.lower(col.cast("string")), r"[^a-z0-9.]+", " "))
+    return F.trim(F.regexp_replace(F.lower(col.cast("string")), UNCLEAN, " "))
 
 
 def normalize_text(col: Column) -> Column:

@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from clinical_views import study_tables
 from cohortspark.operators import windows
 from cohortspark.plans import phenotype
 from cohortspark.sources import io
@@ -128,3 +129,25 @@ def test_absent_optional_tables_fall_back(spark):
     for row in rows:
         assert row.any_imv == row.any_steroid == row.any_crrt == row.cytokine_storm_like == row.fever_flag == 0
         assert row.max_fio2 is None and row.steroid_names is None and row.plt_min is None
+
+
+def test_steps_of_the_events_are_short_enough_to_compile(spark, sf_dir):
+    """The JVM interprets methods of more than 8,000 bytes of code."""
+    tables = study_tables(spark, sf_dir)
+    base = io.materialize(spark.createDataFrame([(i, T0) for i in range(50)], "hospitalization_id bigint, first_icu_in timestamp_ntz"))
+    sources = [
+        phenotype.resp_source(tables["respiratory_support"]), phenotype.vasopressor_source(tables["medication_admin_continuous"]),
+        phenotype.crrt_source(tables["crrt_therapy"]), phenotype.steroid_rescue_source(tables["medication_admin_intermittent"]),
+        phenotype.lab_source(tables["labs"]), phenotype.vital_source(tables["vitals"]),
+    ]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for limit in ("10m", "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            execution = windows.union_features(sources, base)._jdf.queryExecution()
+            text = execution.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+            sizes = [int(size) for size in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+            assert sizes and max(sizes) < 8000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
