@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import oracles as o
-from clinical_views import STUDY, source, spark_view, stored_lines, study_tables
+from clinical_views import BUCKET_ROWS, STUDY, source, spark_view, stored_lines, study_tables
 from cohortspark.functions import scalars as sc
 from cohortspark.operators import anchors, models, outliers, quantiles, summaries, trajectories, windows
 from cohortspark.plans import analysis, burden, exposure, inpatient, note_review, outcome_models, phenotype
@@ -118,6 +118,13 @@ def anchor_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return broad(spark, sf_dir).select("hospitalization_id", "first_icu_in")
 
 
+def stored_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The anchors written once, in as many buckets of the admission as they ask for."""
+    rows = io.materialize(broad(spark, sf_dir, stored_lines(spark, sf_dir)).select("hospitalization_id", "first_icu_in"))
+    folder = f"{io.shared_dir(spark)}/cohortspark/anchors-{uuid.uuid4().hex}"
+    return io.save_laid_out({"anchors": rows}, folder, buckets=io.bucket_count([rows], BUCKET_ROWS))["anchors"]
+
+
 def broad(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     return phenotype.cancer_icu_broad(
         *[spark_view(spark, sf_dir, v, lines) for v in ("hospitalization", "adt", "hospital_diagnosis")]
@@ -600,7 +607,8 @@ def _(spark, sf):
           "cast(null as double) as max_fio2, 0 as any_vasopressor, 0 as any_crrt, 0 as fever_flag, "
           "cast(null as double) as ferritin_max from broad")
 def _(spark, sf):
-    base = anchor_frame(spark, sf)
+    # stored in buckets of the key: the blocks read it five times more, and then join it where it lies
+    base = stored_anchors(spark, sf)
     blocks = [
         phenotype.resp_features(None, base),
         phenotype.vasopressor_features(None, base),

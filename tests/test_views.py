@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import clinical_views as views
 from cohortspark.operators import windows
 from cohortspark.sources import io
+from study_queries import QUERIES
 
 EVENTS = [name for name in views.STUDY if name not in ("hospitalization", "hospital_diagnosis")]
 
@@ -61,3 +62,16 @@ def test_buckets_grow_with_the_rows(spark):
     small, large = spark.range(100), spark.range(1000)
     assert io.bucket_count([small], 50) == io.LEAST_BUCKETS
     assert io.bucket_count([small, large], 50) == 20 and io.bucket_count([large, small], 30) == 34
+
+
+def test_fillers_join_the_stored_anchors_where_they_lie(spark, sf_dir):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frame = QUERIES["optional_block_fillers"](spark, sf_dir)
+        text = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in text and "l_orderkey" not in text
+        rows = frame.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    ids = [r.hospitalization_id for r in rows]
+    assert ids and len(ids) == len(set(ids)) and all(r.any_imv == r.fever_flag == 0 and r.max_fio2 is None for r in rows)
