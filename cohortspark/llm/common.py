@@ -12,6 +12,8 @@ from cohortspark.sources.io import materialize
 
 #: Text is worked on in slices of an Arrow batch of about this many bytes.
 SLICE_BYTES = 8 << 20
+#: Rows of a few numbers that one task takes.
+TASK_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,27 +50,37 @@ def words_column(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def tasks_for(*frames: DataFrame) -> int:
+    """How many tasks stored frames of a few numbers a row need: a small one does not need all shuffle partitions."""
+    return max(1, *[-(-frame.count() // TASK_ROWS) for frame in frames])
+
+
+def components(edges: DataFrame, tasks: int | None = None) -> DataFrame:
     """Connected components of the pairs (a, b): node and the smallest node it reaches, as (node, component).
 
     Rounds of large stars and small stars, each stored in the shared folder; the smallest neighbours are
     stored before the join, so that a node with very many neighbours is an ordinary skewed join. Loops and
-    repeated pairs are allowed; an empty frame gives no rows.
+    repeated pairs are allowed; an empty frame gives no rows. ``tasks`` is how many the pairs need, if that is known.
     """
-    edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = materialize(edges.coalesce(tasks) if tasks else edges)
     if edges.isEmpty():
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    before = None
+    before, tasks = None, tasks or tasks_for(edges)
+
+    def stored(frame: DataFrame) -> DataFrame:
+        return materialize(frame.coalesce(tasks))  # the stars never have more than twice these rows
+
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialize(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")))
-        large = materialize(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct())
-        least = materialize(large.groupBy("a").agg(F.min("b").alias("low")))
+        least = stored(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")))
+        large = stored(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct())
+        least = stored(large.groupBy("a").agg(F.min("b").alias("low")))
         small = large.join(least, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        edges = materialize(small.unionByName(least.select("a", F.col("low").alias("b"))).distinct())
+        edges = stored(small.unionByName(least.select("a", F.col("low").alias("b"))).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-                edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+                edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct().coalesce(tasks)
             )
         before = now

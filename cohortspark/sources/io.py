@@ -7,7 +7,8 @@ import os
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +29,8 @@ INPATIENT_STUDY_TABLES = [
 REQUIRED_TABLES = ["adt", "hospitalization", "hospital_diagnosis"]
 #: Rows that a bucket of a laid-out table holds, and the least number of buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 1_000_000, 8
+#: Spark's setting that removes the shuffle files of an action as soon as it ends.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read_optional(spark: SparkSession, path: str) -> DataFrame | None:
@@ -184,6 +187,17 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+@contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """What is written here leaves no shuffle files, which else stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(SHUFFLES_GO, "false")
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a frame that several branches read, and read it back.
 
@@ -192,7 +206,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cohortspark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_go(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,6 +1,8 @@
 import csv
 
 import pytest
+from pyspark.sql import DataFrameWriter
+from pyspark.sql import functions as F
 
 from cohortspark.operators import outliers
 from cohortspark.sources import io, lookups
@@ -98,3 +100,21 @@ def test_laid_out_tables_join_without_an_exchange(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         for table in {t.name for t in spark.catalog.listTables() if t.name.startswith(("left_cohort", "right_cohort"))}:
             spark.sql(f"drop table {table}")
+
+
+def test_stored_frames_leave_no_shuffle_files(spark, monkeypatch):
+    writing = []
+
+    def recording(self, path, write=DataFrameWriter.parquet):
+        writing.append(spark.conf.get(io.SHUFFLES_GO))
+        return write(self, path)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", recording)
+    rows = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count().cache()
+    stored = io.materialize(rows.groupBy("count").agg(F.sum("k").alias("k")))
+    assert writing == ["true"] and spark.conf.get(io.SHUFFLES_GO, "false") == "false"
+    assert tuple(stored.first()) == (100, 45) and rows.count() == 10
+    rows.unpersist()
+    with pytest.raises(Exception, match="FAILED_TO_PARSE|CAST_INVALID_INPUT"):
+        io.materialize(spark.sql("select cast('x' as int) as k from range(3) distribute by id"))
+    assert spark.conf.get(io.SHUFFLES_GO, "false") == "false"
