@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import string
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -224,7 +226,7 @@ def rate_with_ci(events: Column, n: Column, z: float = 1.96) -> dict[str, Column
     }
 
 
-def extract_snippet(text: Column, pattern: str, window: int = 90) -> Column:
+def extract_snippet(text: Column, pattern: str | Column, window: int = 90) -> Column:
     """First match with up to ``window`` characters on each side, squished; NULL without a match.
 
     Splitting once at the first match gives the text before and after it, so
@@ -240,11 +242,83 @@ def extract_snippet(text: Column, pattern: str, window: int = 90) -> Column:
     return F.transform(F.array(F.split(text, case_insensitive(pattern), 2)), cut)[0]
 
 
-def case_insensitive(pattern: str) -> str:
+def case_insensitive(pattern: str | Column) -> str | Column:
     """Unicode-aware, case-insensitive form of a pattern."""
+    if isinstance(pattern, Column):
+        return F.concat(F.lit("(?iU)(?:"), pattern, F.lit(")"))
     return "(?iU)(?:" + pattern + ")"
 
 
+# One part of a pattern: a bar, a sign that stands for itself, or what matches other signs; then how often.
+_PART = re.compile(
+    r"(?P<bar>\|)|(?:(?P<sign>[^\\\[\](){}^$|?*+.])|\\[bBsSdDwW]|\\[^A-Za-z0-9]|\[\^?[^\[\]\\^&]+\]|\.|\((?!\?)[^()|\[\]\\]*\)(?=\?))"
+    r"(?P<times>(?:[?*+]|\{\d+(?:,\d*)?\})[?+]?)?"
+)
+
+
+def alternatives(pattern: str) -> list[tuple[str, list[str]]] | None:
+    """The alternatives of a pattern, each with lower-case literals that every match of it contains.
+
+    None for other syntax than literals, dots, classes, escapes of one sign, optional groups and counts, where
+    alternatives might depend on each other. An alternative without literals of three letters gives its longest, if any.
+    """
+    found, start, at, pieces = [], 0, 0, [""]
+    while at <= len(pattern):
+        part = _PART.match(pattern, at) if at < len(pattern) else None
+        if at < len(pattern) and part is None:
+            return None
+        if part is None or part["bar"]:
+            if start == at:
+                return None
+            words = [re.sub(" +", " ", piece).strip() for piece in pieces]
+            words = [w.lower() for w in words if re.fullmatch(r"[A-Za-z0-9 \-]+", w)]
+            found.append((pattern[start:at], list(dict.fromkeys([w for w in words if len(w) > 2] or words))))
+            start, pieces = at + 1, [""]
+        elif part["sign"] and not part["times"]:
+            pieces[-1] += part["sign"]
+        else:
+            pieces.append("")
+        at = part.end() if part else at + 1
+    return found
+
+
+def literals_in(search: Column, literals: Iterable[str]) -> Column:
+    """Those of the literals that the search text contains, as an array: all are met in one pass over the text.
+
+    The pass is Aho-Corasick's in the Python worker; a substring search for each literal took most of the time.
+    """
+    words = list(literals)
+    if not words:
+        return F.array().cast("array<string>")
+
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for word in words:
+            automaton.add_word(word, word)
+        automaton.make_automaton()
+        for texts in batches:
+            yield pa.array([sorted({word for _, word in automaton.iter(text.as_py())}) for text in texts], pa.list_(pa.string()))
+
+    return F.arrow_udf(found, "array<string>")(search)
+
+
+def alternatives_in(literals: Column, parts: list[tuple[str, list[str]]]) -> Column:
+    """A pattern of the alternatives whose literals are all among the given ones; empty if there is none.
+
+    It finds the same first match as all alternatives.
+    """
+
+    def possible(words: list[str]) -> Column:
+        out = F.lit(True)
+        for word in words:
+            out = out & F.array_contains(literals, word)
+        return out
+
+    return F.concat_ws("|", *[F.when(possible(words), F.lit(part)) for part, words in parts], F.lit(None).cast("string"))
+
+
 def needed_literals(pattern: str) -> list[str] | None:
     """A lower-case literal per alternative that every match of it contains.
 
@@ -283,7 +357,9 @@ def mentions(col: Column, pattern: str) -> Column:
 def search_text(clean_text: Column) -> Column:
     """Normalized text for ``may_match``: two letters that case-insensitive search
     equates with i and s keep their own lower-case form, so they are mapped."""
-    return F.translate(clean_text, "\u0131\u017f", "is")
+    return F.when(
+        clean_text.contains("\u0131") | clean_text.contains("\u017f"), F.translate(clean_text, "\u0131\u017f", "is")
+    ).otherwise(clean_text)
 
 
 def may_match(search: Column, pattern: str) -> Column | None:

@@ -9,10 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import (
+    alternatives,
+    alternatives_in,
     case_insensitive,
     extract_snippet,
     is_plain,
-    may_match,
+    literals_in,
     mentions,
     normalize_text,
     parse_flexible_datetime,
@@ -82,10 +84,11 @@ QUEUE_COLUMNS = [
 
 def radiology_filter(notes: DataFrame) -> DataFrame:
     """Chest procedures, or texts that speak of the chest."""
-    return notes.filter(
-        mentions(normalize_text(F.col("PROC_NAME")), CHEST_PROCEDURE)
-        | mentions(normalize_text(F.col("NOTE_TEXT")), CHEST_TEXT)
-    )
+
+    def speaks(text: Column, pattern: str) -> Column:
+        return F.exists(F.array(normalize_text(text)), lambda clean: mentions(clean, pattern))  # cleaned once
+
+    return notes.filter(speaks(F.col("PROC_NAME"), CHEST_PROCEDURE) | speaks(F.col("NOTE_TEXT"), CHEST_TEXT))
 
 
 def dictionary_flags(notes: DataFrame, concepts: Iterable[tuple] = CONCEPTS, domain: str = "all") -> DataFrame:
@@ -96,25 +99,36 @@ def dictionary_flags(notes: DataFrame, concepts: Iterable[tuple] = CONCEPTS, dom
     """
     concepts = list(concepts)
     patterns = concept_patterns(concepts, domain)
-    cleaned = notes.withColumn("note_text_clean", normalize_text(F.col("NOTE_TEXT"))).withColumn(
-        "__search", search_text(F.col("note_text_clean"))
+    split = {group: alternatives(pattern) for group, pattern in patterns.items()}
+    literals = dict.fromkeys(x for parts in split.values() for _, words in parts or [] for x in words)
+    cleaned = (
+        notes.withColumn("note_text_clean", normalize_text(F.col("NOTE_TEXT")))
+        .withColumn("__search", search_text(F.col("note_text_clean")))
+        # Literals are searched once a note, whatever the number of groups and columns that ask for them.
+        .withColumn("__literals", literals_in(F.col("__search"), literals))
+        .drop("__search")
     )
+    # Lower case makes two signs of a dotted capital I, which case-insensitive search equates with i.
+    dotted = F.col("note_text_clean").contains("\u0307")
     columns: dict[str, Column] = {}
     for group in concept_groups(concepts):
-        if group in patterns:
-            pattern = patterns[group]
-            found = F.col("note_text_clean").rlike(case_insensitive(pattern)).cast("int")
-            snippet = extract_snippet(F.col("NOTE_TEXT"), pattern)
-            # Most notes hold none of a group's literals; plain substring search rules them out.
-            maybe = may_match(F.col("__search"), pattern)
-            if maybe is not None:
-                found = maybe.cast("int") if is_plain(pattern) else F.when(maybe, found).otherwise(0)
-            columns[f"any_{group}"] = found
-            columns[f"snippet_{group}"] = snippet if maybe is None else F.when(maybe, snippet)
-        else:
+        if group not in patterns:
             columns[f"any_{group}"] = F.lit(0)
             columns[f"snippet_{group}"] = F.lit(None).cast("string")
-    return cleaned.withColumns(columns).drop("__search")
+        elif split[group] is None:
+            columns[f"any_{group}"] = F.col("note_text_clean").rlike(case_insensitive(patterns[group])).cast("int")
+            columns[f"snippet_{group}"] = extract_snippet(F.col("NOTE_TEXT"), patterns[group])
+        else:
+            # Most notes hold the literals of no alternative, most others those of one or two.
+            plain = [part for part in split[group] if is_plain(part[0])]
+            other = [part for part in split[group] if not is_plain(part[0])]
+            some, left = (alternatives_in(F.col("__literals"), parts) for parts in (split[group], other))
+            found = F.when(left != "", F.rlike("note_text_clean", case_insensitive(left)).cast("int")).otherwise(0)
+            columns[f"any_{group}"] = F.when(alternatives_in(F.col("__literals"), plain) != "", 1).otherwise(found)
+            columns[f"snippet_{group}"] = F.when(
+                some != "", extract_snippet(F.col("NOTE_TEXT"), F.when(dotted, F.lit(patterns[group])).otherwise(some))
+            )
+    return cleaned.withColumns(columns).drop("__literals")
 
 
 def note_datetime(notes: DataFrame) -> Column:

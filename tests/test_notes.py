@@ -74,3 +74,22 @@ def test_dictionary_groups():
     assert "radiology_edema" not in concept_patterns(CONCEPTS, "all")
     for pattern in concept_patterns(CONCEPTS, "radiology").values():
         re.compile(pattern)
+
+
+def test_all_literals_are_met_in_one_pass_over_a_note(spark):
+    flags = nr.dictionary_flags(notes(spark, ["Keytruda"]), CONCEPTS, "radiology")
+    assert flags._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_alternatives_are_left_out_only_where_they_cannot_match(spark):
+    groups = ["ab|abc x|b.c", "lich.{0,3}keit|MENT[a-z]* LA", "(a)\\1|zz", "v\\.?s\\.?|\\d{3}", "(ed)?ing|x  y", "^abc|\\Qa|b\\E", "irae\\b|zz"]
+    concepts = [("all", f"g{i}", "c", pattern) for i, pattern in enumerate(groups)]
+    texts = ["xabc x", "b\nc ab", "Lichtkeit", "ment LA", "mental la", "aa", "V.S. 12 345", "x  y", "x y edING", "abc a|b", "İRAE zz", "ırae", "irae zz", "", None]
+    df = notes(spark, texts)
+    got = {r.NOTE_ID: r for r in nr.dictionary_flags(df, concepts).collect()}
+    for i, pattern in enumerate(groups):
+        plain = df.select("NOTE_ID", sc.normalize_text(F.col("NOTE_TEXT")).rlike(sc.case_insensitive(pattern)).cast("int").alias("f"), sc.extract_snippet(F.col("NOTE_TEXT"), pattern).alias("s"))
+        for r in plain.collect():
+            assert (got[r.NOTE_ID][f"any_g{i}"], got[r.NOTE_ID][f"snippet_g{i}"]) == (r.f, r.s), (pattern, r)
+    assert sc.alternatives("favou?rs? .* irae|\\d+|v\\.?s") == [("favou?rs? .* irae", ["favo", "irae"]), ("\\d+", []), ("v\\.?s", ["v", "s"])]
+    assert all(sc.alternatives(p) is None for p in ("(a)\\1|b", "a||b", "(?i)x", "^ab", "(a|b)c", "\\Qa|b\\E"))
