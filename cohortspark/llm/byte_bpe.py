@@ -20,6 +20,7 @@ import json
 import re
 import sys
 import types
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -353,14 +354,14 @@ def encode(
     heads = frequent(materialize(word_counts(docs, text_col, pattern, 2)), head).select("word", folded(F.col("word"), literal).alias("ids"))
     known = {bytes(r.word): np.array(r.ids, "<u4").tobytes() for r in heads.toLocalIterator()}  # at most ``head`` words
     shared = rows.sparkSession.sparkContext.broadcast((known, ranks))
-    key = zlib.crc32(repr(sorted(ranks.items())).encode())
+    key, call = zlib.crc32(repr(sorted(ranks.items())).encode()), uuid.uuid4().hex
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Ids with a numbered hole for each word that is left to Spark, and these words."""
         splitter = kept_in_worker(f"splitter:{classes[0]}", lambda: Splitter(*classes))
         words, all_ranks = shared.value[0], kept_in_worker(f"ranks:{key}", lambda: Ranks(shared.value[1]))
 
-        cached: dict[str, bytes] = {}
+        cached: dict[str, bytes] = kept_in_worker(f"units:{call}", dict)
 
         def opened_units(units: set[str]) -> tuple[dict[str, bytes], dict[str, list[bytes]]]:
             """Ids of units not met before; with ``fold_all`` the words of those that hold an unknown one."""
@@ -446,14 +447,18 @@ def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.__getitem__
-        for batch in batches:
-            texts = [None if x is None else b"".join(map(get, np.frombuffer(x, "<u4").tolist())) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*own, "decoded"])
+        for part, ids in sliced(batches, ids_col):
+            texts = [b"".join(map(get, np.frombuffer(x, "<u4").tolist())) for x in ids]
+            missing = part.column(at).is_null().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary(), mask=missing)], names=[*own, "decoded"])
 
     return encoded.select(*own).mapInArrow(run, schema)
 
 
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every whole document and what they decode to, as digests. Null texts are empty; see ``encode``."""
-    found = decode(encode(table(spark, sf_dir, "documents")))
+    """Ids of every whole document and what they decode to, as digests. Null texts are empty; see ``encode``.
+
+    The ids are stored in between, so that a task has one Python worker at a time.
+    """
+    found = decode(materialize(encode(table(spark, sf_dir, "documents"))))
     return found.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

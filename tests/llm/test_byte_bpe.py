@@ -65,3 +65,17 @@ def test_many_words_at_once_equal_heap():
 def test_ids_as_array(spark):
     frame = spark.createDataFrame([(np.array([1, 50000, 70000], "<u4").tobytes(),), (b"",), (None,)], "ids binary")
     assert [r[0] for r in frame.select(byte_bpe.as_array(F.col("ids"))).collect()] == [[1, 50000, 70000], [], None]
+
+
+def test_query_has_one_python_worker_a_task(spark, sf_dir):
+    plan = byte_bpe.op11_byte_bpe(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_decode_in_slices_keeps_null_and_empty(spark, monkeypatch):
+    monkeypatch.setattr("cohortspark.llm.common.SLICE_BYTES", 64)
+    ids = [np.array([i % 256] * 40, "<u4").tobytes() for i in range(20)] + [b"", None]
+    pieces = {rank: piece for piece, rank in byte_bpe.load_ranks().items()}
+    found = byte_bpe.decode(spark.createDataFrame(list(enumerate(ids)), "doc_id long, ids binary").coalesce(1)).orderBy("doc_id").collect()
+    assert [r.decoded and bytes(r.decoded) for r in found[:20]] == [pieces[i % 256] * 40 for i in range(20)]
+    assert (bytes(found[20].decoded), found[21].decoded) == (b"", None)
