@@ -282,14 +282,18 @@ def alternatives(pattern: str) -> list[tuple[str, list[str]]] | None:
     return found
 
 
-def literals_in(search: Column, literals: Iterable[str]) -> Column:
+def literals_in(search: Column, literals: Iterable[str], native: bool = False) -> Column:
     """Those of the literals that the search text contains, as an array: all are met in one pass over the text.
 
     The pass is Aho-Corasick's in the Python worker; a substring search for each literal took most of the time.
+    ``native`` searches for each in Spark, without Python.
     """
     words = list(literals)
     if not words:
         return F.array().cast("array<string>")
+    if native:
+        all_words = F.array(*map(F.lit, words))
+        return F.transform(F.array(search), lambda text: F.filter(all_words, lambda word: F.contains(text, word)))[0]  # the text is made once
 
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import ahocorasick

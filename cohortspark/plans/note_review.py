@@ -91,11 +91,13 @@ def radiology_filter(notes: DataFrame) -> DataFrame:
     return notes.filter(speaks(F.col("PROC_NAME"), CHEST_PROCEDURE) | speaks(F.col("NOTE_TEXT"), CHEST_TEXT))
 
 
-def dictionary_flags(notes: DataFrame, concepts: Iterable[tuple] = CONCEPTS, domain: str = "all") -> DataFrame:
+def dictionary_flags(
+    notes: DataFrame, concepts: Iterable[tuple] = CONCEPTS, domain: str = "all", native: bool = False
+) -> DataFrame:
     """``any_<group>`` on the normalized text and ``snippet_<group>`` on the raw text.
 
     A match that spans a line break therefore sets the flag and leaves the
-    snippet empty. Groups of other domains are 0 and missing.
+    snippet empty. Groups of other domains are 0 and missing. ``native`` keeps Python out of the plan.
     """
     concepts = list(concepts)
     patterns = concept_patterns(concepts, domain)
@@ -105,7 +107,7 @@ def dictionary_flags(notes: DataFrame, concepts: Iterable[tuple] = CONCEPTS, dom
         notes.withColumn("note_text_clean", normalize_text(F.col("NOTE_TEXT")))
         .withColumn("__search", search_text(F.col("note_text_clean")))
         # Literals are searched once a note, whatever the number of groups and columns that ask for them.
-        .withColumn("__literals", literals_in(F.col("__search"), literals))
+        .withColumn("__literals", literals_in(F.col("__search"), literals, native))
         .drop("__search")
     )
     # Lower case makes two signs of a dotted capital I, which case-insensitive search equates with i.
@@ -151,10 +153,10 @@ def score_note(notes: DataFrame) -> DataFrame:
 
 
 def note_level(
-    notes: DataFrame, note_source: str, domain: str, concepts: Iterable[tuple] = CONCEPTS
+    notes: DataFrame, note_source: str, domain: str, concepts: Iterable[tuple] = CONCEPTS, native: bool = False
 ) -> DataFrame:
     """One scored row per note of a source."""
-    flagged = dictionary_flags(notes.withColumn("note_source", F.lit(note_source)), concepts, domain)
+    flagged = dictionary_flags(notes.withColumn("note_source", F.lit(note_source)), concepts, domain, native)
     return score_note(
         flagged.withColumns(
             {
@@ -167,17 +169,17 @@ def note_level(
 
 
 def all_notes(
-    handp: DataFrame | None, radiology: DataFrame | None, concepts: Iterable[tuple] = CONCEPTS
+    handp: DataFrame | None, radiology: DataFrame | None, concepts: Iterable[tuple] = CONCEPTS, native: bool = False
 ) -> DataFrame:
     """Both sources scored and stacked; columns of one source are missing in the other."""
     concepts = list(concepts)
     parts = []
     if handp is not None:
         require_columns(handp, HANDP_COLUMNS, "H&P notes")
-        parts.append(note_level(handp, "handp", "all", concepts))
+        parts.append(note_level(handp, "handp", "all", concepts, native))
     if radiology is not None:
         require_columns(radiology, RADIOLOGY_COLUMNS, "radiology notes")
-        parts.append(note_level(radiology_filter(radiology), "radiology", "radiology", concepts))
+        parts.append(note_level(radiology_filter(radiology), "radiology", "radiology", concepts, native))
     if not parts:
         raise ValueError("No note source given.")
     out = parts[0]

@@ -139,8 +139,8 @@ def note_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     )
 
 
-def scored_notes(spark: SparkSession, sf_dir: str, concepts: list[tuple] = CONCEPTS) -> DataFrame:
-    return note_review.all_notes(*note_sources(spark, sf_dir), concepts=concepts)
+def scored_notes(spark: SparkSession, sf_dir: str, concepts: list[tuple] = CONCEPTS, native: bool = False) -> DataFrame:
+    return note_review.all_notes(*note_sources(spark, sf_dir), concepts=concepts, native=native)
 
 
 def lab_limits(spark: SparkSession) -> DataFrame:
@@ -1560,7 +1560,7 @@ def _(spark, sf):
 
 @register("encounter_level", "select * from el")
 def _(spark, sf):
-    return note_review.encounter_level(scored_notes(spark, sf))
+    return note_review.encounter_level(scored_notes(spark, sf, native=True))
 
 
 @register(

@@ -93,3 +93,10 @@ def test_alternatives_are_left_out_only_where_they_cannot_match(spark):
             assert (got[r.NOTE_ID][f"any_g{i}"], got[r.NOTE_ID][f"snippet_g{i}"]) == (r.f, r.s), (pattern, r)
     assert sc.alternatives("favou?rs? .* irae|\\d+|v\\.?s") == [("favou?rs? .* irae", ["favo", "irae"]), ("\\d+", []), ("v\\.?s", ["v", "s"])]
     assert all(sc.alternatives(p) is None for p in ("(a)\\1|b", "a||b", "(?i)x", "^ab", "(a|b)c", "\\Qa|b\\E"))
+
+
+def test_native_literals_equal_those_of_the_one_pass(spark):
+    texts = ["Keytruda, possible\npneumonitis", "posſible ırae", "İRAE vs sepsis", "ground -glass ggo", "", None]
+    one, native = (nr.dictionary_flags(notes(spark, texts), CONCEPTS, "radiology", native=x) for x in (False, True))
+    assert "Python" not in native._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, native.collect())) == sorted(map(str, one.collect()))
